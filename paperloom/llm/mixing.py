@@ -102,13 +102,24 @@ def mix(sizes: DataFrame) -> DataFrame:
     return queued(sizes).select("doc_id", "size", "source_size", "target", sum((taken_in(k) for k in range(1, MOST_PASSES)), taken_in(0)).alias("taken"))
 
 
-def served(queue: DataFrame) -> DataFrame:
-    """The mix itself: a row for each document and pass of which at least half is within the budget, by finish time.
+def schedule(queue: DataFrame) -> DataFrame:
+    """Rows of queue with turn and finish (virtual finish time): one for each pass in which at least half of the row's words are within the budget.
 
-    Columns of queue, with turn, taken and finish (the virtual finish time). Rows are
-    sorted over all partitions; whole documents are sent, so each source ends within half
-    a document of its target.
+    Whole documents are sent, so a source ends within half a document of its target.
     """
-    turns = F.explode(F.array(*[F.struct(F.lit(k).alias("turn"), taken_in(k).alias("taken"), ((F.col("done") + k * F.col("source_size") + F.col("size")) / F.col("target")).alias("finish")) for k in range(MOST_PASSES)]))
-    sent = queue.select("*", turns.alias("t")).select("*", "t.*").drop("t").filter("taken > 0 AND 2 * taken >= size")
-    return sent.repartitionByRange("finish", "doc_id").sortWithinPartitions("finish", "doc_id")
+    turns = F.array(*[F.struct(F.lit(k).alias("turn"), taken_in(k).alias("taken"), ((F.col("done") + k * F.col("source_size") + F.col("size")) / F.col("target")).alias("finish")) for k in range(MOST_PASSES)])
+    return queue.select("*", F.explode(turns).alias("t")).select("*", "t.*").drop("t").filter("taken > 0 AND 2 * taken >= size")
+
+
+def served(docs: DataFrame) -> DataFrame:
+    """The mix itself: rows of docs (doc_id, text, source, ...) once for each time they are sent, sorted by finish time over all partitions.
+
+    Rows that are equal throughout go together. Rows without words are never sent: they
+    take nothing of a budget of words.
+    """
+    marked = docs.withColumn("__row", F.xxhash64(*docs.columns))
+    sizes = marked.select("doc_id", "source", n_words(F.col("text")).alias("size"), "__row")
+    queue = queued(stored(sizes.groupBy("doc_id", "source", "__row").agg(F.sum("size").alias("size")), "sizes"))
+    sent = schedule(queue).select(F.col("doc_id").alias("__id"), F.col("__row").alias("__sent"), "finish")
+    rows = marked.join(sent, (F.col("__row") == F.col("__sent")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    return rows.repartitionByRange("finish").sortWithinPartitions("finish").select(*docs.columns)
