@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codes, decontaminate, mixing, simhash
+from . import codes, decontaminate, langid, mixing, simhash, vectors
 from .shared import scratch_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,10 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def vocabulary_file(name: str) -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+    return str(public_tokenizers.path(name))
+
+
+def tokenizer_path() -> str:
+    return vocabulary_file("word_bpe_49k.json")
+
+
+def language_model(docs: DataFrame) -> langid.Model:
+    return langid.train(docs.filter(~F.coalesce(langid.held_out(), F.lit(False))), vocabulary_file("piece_bpe_32k.model"))
 
 
 @query
@@ -37,6 +45,20 @@ def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.documents(spark, path)
 
 
+@query
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predicted(docs.select("doc_id", "text"), language_model(docs))
+    return found.select("doc_id", F.coalesce(langid.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.98 or more between embeddings of one label, and their components."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op6_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents at weights 5, 2, 1 over one and a half times their words."""
