@@ -110,7 +110,7 @@ def schedule(queue: DataFrame) -> DataFrame:
     Whole documents are sent, so a source ends within half a document of its target.
     """
     turns = F.array(*[F.struct(F.lit(k).alias("turn"), taken_in(k).alias("taken"), ((F.col("done") + k * F.col("source_size") + F.col("size")) / F.col("target")).alias("finish")) for k in range(MOST_PASSES)])
-    return queue.select("*", F.explode(turns).alias("t")).select("*", "t.*").drop("t").filter("taken > 0 AND 2 * taken >= size")
+    return queue.select("*", F.explode(turns).alias("each_turn")).select("*", "each_turn.*").drop("each_turn").filter("taken > 0 AND 2 * taken >= size")
 
 
 def served(docs: DataFrame) -> DataFrame:
