@@ -18,15 +18,20 @@ no bitmap). Every number is little endian.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, models
 
 from .shared import texts
 
@@ -35,9 +40,10 @@ RANK_BITS = 512
 END_ID = 2
 SEGMENT_TOKENS = 1 << 18
 #: Distinct words whose ids a Python worker remembers, about 0.2 kB each.
-REMEMBERED = 300_000
+REMEMBERED = 900_000
 #: Words of one call to the tokenizer.
 ASKED_AT_ONCE = 4096
+CODED_AT_ONCE = 1 << 20
 
 
 def encode_codes(ids: np.ndarray) -> bytes:
@@ -111,40 +117,66 @@ class Codes:
         return value if value is not None else np.zeros(0, np.uint32)
 
 
+#: Lower-case words of Latin-1 letters, in UTF-8: composed, and one piece to a tokenizer that splits letters from the rest.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+_ENDED = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]+)").fullmatch
+#: Bytes as the byte-level alphabet writes them, where that isn't the Latin-1 character.
+_BYTE_CHARS = {byte: 256 + 33 + k for k, byte in enumerate([*range(127, 161), 173])}
+
+
 class Tokens:
     """ids of texts by a tokenizers file, as little-endian uint32 bytes.
 
     Valid for tokenizers that drop white space before they split and treat A-Z like
     a-z: texts are cut at ASCII white space, and the ids of a piece are remembered. A
     text with ``<|`` in it may hold a special token, and goes to the library whole.
+    Words that normalising and splitting leave as they are go to the file's model alone,
+    which is the same library without those steps.
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def _learn(self, words: list[bytes]) -> None:
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.model = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=model["end_of_word_suffix"], cache_capacity=0))
+
+    def _ask(self, words: list[bytes]) -> None:
+        plain = [w for w in words if _PLAIN(w)]
+        self._keep(self.model, plain, [w.decode("latin-1").translate(_BYTE_CHARS) for w in plain])
+        other = list(set(words).difference(plain))
+        self._keep(self.tokenizer, other, list(map(bytes.decode, other)))
+
+    def _keep(self, tokenizer: Tokenizer, words: list[bytes], asked: list[str]) -> None:
         for at in range(0, len(words), ASKED_AT_ONCE):
-            some = words[at : at + ASKED_AT_ONCE]
-            for word, got in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, "<u4").tobytes()
+            ids = [got.ids for got in tokenizer.encode_batch_fast(asked[at : at + ASKED_AT_ONCE], add_special_tokens=False)]
+            ends = list(accumulate(map(len, ids), initial=0))
+            flat = np.fromiter(chain.from_iterable(ids), "<u4", ends[-1]).tobytes()
+            self.known.update((word, flat[4 * s : 4 * e]) for word, s, e in zip(words[at : at + ASKED_AT_ONCE], ends, ends[1:], strict=False))
+
+    def learn(self, new: set[bytes]) -> None:
+        """Know words that are new. ASCII marks that end a plain word are a piece by themselves, so word and marks are asked for."""
+        ended = {w: m.groups() for w in new if (m := _ENDED(w))}
+        asked = {x for pair in ended.values() for x in pair}.union(w for w in new if w not in ended)
+        self._ask(list(asked.difference(self.known)))
+        self.known.update((w, self.known[base] + self.known[marks]) for w, (base, marks) in ended.items())
+
+    def encode_all(self, some: list[bytes | None]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:  # what came first is what is common: keep the older half
+            self.known = dict(islice(self.known.items(), REMEMBERED // 2))
+        split = [t.lower().split() if t and b"<|" not in t else [] for t in some]
+        found = [list(map(self.known.get, words)) for words in split]
+        self.learn({word for words, codes in zip(split, found, strict=True) if None in codes for word, code in zip(words, codes, strict=True) if code is None})
+        known = self.known.__getitem__
+        joined = [b"".join(map(known, words) if None in codes else codes) for words, codes in zip(split, found, strict=True)]
+        return [self._whole(text) if text and b"<|" in text else code for text, code in zip(some, joined, strict=True)]
+
+    def _whole(self, text: bytes | None) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes() if text else b""
 
     def encode(self, text: bytes | None) -> bytes:
-        if not text:
-            return b""
-        if b"<|" in text:
-            return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.lower().split()
-        if new := set(words).difference(self.known):
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = set(words)
-            self._learn(list(new))
-        return b"".join(map(self.known.__getitem__, words))
+        return self.encode_all([text])[0]
 
 
 _tokens: dict[str, Tokens] = {}
@@ -157,6 +189,18 @@ def tokens(path: str) -> Tokens:
     return _tokens[path]
 
 
+def coded(some: Iterable[bytes | None], encode_all: Callable[[list[bytes | None]], list[bytes]]) -> Iterator[bytes]:
+    """The codes of texts, asked for by about CODED_AT_ONCE bytes of them."""
+    held, size = [], 0
+    for text in some:
+        held.append(text)
+        size += len(text or b"")
+        if size > CODED_AT_ONCE:
+            yield from encode_all(held)
+            held, size = [], 0
+    yield from encode_all(held)
+
+
 _SEGMENTS = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("null_ids", pa.binary()), ("offsets", pa.binary()), ("codes", pa.binary())])
 SEGMENTS = "part int, segment int, n_docs long, n_tokens long, doc_ids binary, null_ids binary, offsets binary, codes binary"
 
@@ -176,7 +220,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, segm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, segment, held, ids, size = TaskContext.get().partitionId(), 0, [], [], 0
-        encode = tokens(tokenizer).encode
+        encode_all = tokens(tokenizer).encode_all
 
         def flush() -> pa.RecordBatch:
             lengths = np.array([len(x) // 4 for x in held], np.int64)
@@ -186,8 +230,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, segm
             return pa.RecordBatch.from_arrays([pa.array([values[f.name]], f.type) for f in _SEGMENTS], schema=_SEGMENTS)
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
-                code = encode(text) + end
+            for doc_id, code in zip(b.column(0).to_pylist(), coded(texts(b.column(1)), encode_all), strict=True):
+                code += end
                 held.append(code)
                 ids.append(doc_id)
                 size += len(code) // 4

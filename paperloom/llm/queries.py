@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codes, decontaminate, langid, mixing, simhash, vectors
+from . import chat, codes, decontaminate, langid, mixing, simhash, url_filter, vectors
 from .shared import scratch_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,83 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+#: The dated events of the list that op4 applies.
+LISTED = (
+    ("host", "spam-farm.example.org", "spam", "add", "2024-02-01"),
+    ("host", "spam-farm.example.org", "spam", "remove", "2024-09-01"),
+    ("host", "spam-farm.example.org", "spam", "add", "2024-11-15"),
+    ("domain", "tionsh.example.net", "malware", "add", "2024-03-10"),
+    ("domain", "tionsh.example.net", "malware", "remove", "2024-05-20"),
+    ("domain", "ththan.example.net", "adult", "add", "2024-01-20"),
+    ("domain", "ththan.example.net", "gambling", "add", "2024-08-01"),
+    ("domain", "example.com", "quarantine", "add", "2024-06-10"),
+    ("domain", "example.com", "quarantine", "remove", "2024-07-10"),
+    ("host", "blog.tionble.example.com", "plagiarism", "add", "2024-06-20"),
+    ("prefix", "thther.example.org/en", "phishing", "add", "2024-04-01"),
+    ("prefix", "thther.example.org/en", "phishing", "remove", "2024-10-01"),
+    ("prefix", "tionsh.example.net/fr", "copied", "add", "2024-04-15"),
+)
+
+
+@query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page held against the list at its time of fetching: 2024-01-01 and page_id mod 366 days, page_id mod 24 hours."""
+    fetched = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(pmod(page_id, 366) AS int), cast(pmod(page_id, 24) AS int))")
+    events = spark.createDataFrame(LISTED, "kind string, key string, category string, action string, at string").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    found = url_filter.evaluate(table(spark, sf_dir, "pages").select("page_id", "url", fetched.alias("fetched_at")), events)
+    return found.select("page_id", "host", "blocked", F.col("kind").alias("entry_kind"), F.col("key").alias("entry_key"), "category", F.date_format("since", "yyyy-MM-dd").alias("active_since"))
+
+
+ORACLE["op4_url_filter"] = rf"""
+WITH ev(kind, key, category, action, ts) AS (VALUES {", ".join(str(x) for x in LISTED)}),
+iv AS (
+  SELECT * FROM (SELECT kind, key, category, action, CAST(ts AS TIMESTAMP) AS since, lead(CAST(ts AS TIMESTAMP)) OVER (PARTITION BY kind, key ORDER BY ts) AS until FROM ev)
+  WHERE action = 'add'),
+p AS (
+  SELECT page_id, row_number() OVER () AS n, TIMESTAMP '2024-01-01' + to_days(CAST(page_id % 366 AS INTEGER)) + to_hours(page_id % 24) AS ts,
+         coalesce(lower(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://([^/?#\s:]*)', 1)), '') AS host,
+         coalesce(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#\s]*(/[^?#\s]*)?', 1), '') AS path
+  FROM pages),
+s AS (SELECT *, string_split(host, '.') AS labels, list_filter(string_split(path, '/'), lambda x: x <> '') AS steps FROM p),
+k AS (
+  SELECT n, ts, 2 AS r, 'host' AS kind, host AS key FROM s
+  UNION ALL SELECT n, ts, 1, 'domain', array_to_string(labels[i:], '.') FROM s, unnest(range(1, len(labels) + 1)) AS u(i)
+  UNION ALL SELECT n, ts, 3, 'prefix', lower(host || '/' || array_to_string(steps[:i], '/')) FROM s, unnest(range(1, len(steps) + 1)) AS u(i)),
+m AS (
+  SELECT k.n, iv.*, row_number() OVER (PARTITION BY k.n ORDER BY r DESC, length(iv.key) DESC) AS nth
+  FROM k JOIN iv ON k.kind = iv.kind AND k.key = iv.key AND k.ts >= since AND (until IS NULL OR k.ts < until))
+SELECT page_id, host, m.key IS NOT NULL AS blocked, kind AS entry_kind, key AS entry_key, category, strftime(since, '%Y-%m-%d') AS active_since
+FROM p LEFT JOIN m ON p.n = m.n AND m.nth = 1
+"""
+
+
+@query
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts hold control strings, formatted, written, and read back."""
+    odd = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(stored(chat.format_messages(rows), "formatted"))
+
+
+ORACLE["op5_chat_format"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (
+  SELECT *, 4 + length(replace(replace(replace(role, '\', '\b'), '<', '\l'), '#', '\h')) + 1
+         + length(replace(replace(replace(text, '\', '\b'), '<', '\l'), '#', '\h')) + 9 AS n
+  FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
+       CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 @query
 def op6_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents at weights 5, 2, 1 over one and a half times their words."""
