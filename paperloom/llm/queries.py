@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, codes, decontaminate, langid, mixing, simhash, url_filter, vectors
+from . import chat, codes, decontaminate, langid, licenses, mixing, simhash, suffix, url_filter, vectors
 from .shared import scratch_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,6 +168,20 @@ FROM q
 """
 
 
+@query
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph of the documents that may speak of a licence, with the family that stands."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of strings of 200 bytes that also start elsewhere."""
+    found = suffix.deduplicated(table(spark, sf_dir, "documents"))
+    length = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r[1] - r[0])
+    return found.select("doc_id", "n_bytes", length.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents that belong to an occurrence of a 13-word benchmark window."""
