@@ -8,29 +8,32 @@ fitted on paragraphs that training didn't see. A family stands only if its proba
 reaches ``SURE`` and a template of it has at least ``SHARED`` of its three-word shingles in
 the paragraph; otherwise the paragraph is unknown, or without a licence.
 
-Everything over documents is built-in expressions, row by row: no shuffle. A document is
-looked at closely only if it has a cue, a word without which no template can reach SHARED
-(``cues`` proves it), so most texts cost a few substring searches.
+Everything over documents is built-in expressions. A document is looked at closely only
+if it has a cue, a word without which no template can reach SHARED (``cues`` proves it),
+so most texts cost a few substring searches; lines with a cue are stored, and each
+distinct one is scored once.
 """
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 SURE = 0.5
 SHARED = 0.6
 UNKNOWN = "unknown"
 MOST_GRAMS = 3
-ROUNDS = 300
-PENALTY = 1e-3
+ROUNDS = 600
+PENALTY = 3e-4
+MILLION = 1_000_000
 
 #: Notices by family, in words of their public texts.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -125,11 +128,13 @@ class Model:
 
 @lru_cache(maxsize=1)
 def train() -> Model:
-    """Full-batch gradient descent with momentum and a quadratic penalty; every fifth example is held out for the temperature."""
+    """Full-batch gradient descent with momentum and a quadratic penalty; every fifth changed example is held out for the temperature, whole templates never."""
     examples = _examples()
     families = [*sorted(TEMPLATES), UNKNOWN]
-    train_on = [x for k, x in enumerate(examples) if k % 5]
-    held = [x for k, x in enumerate(examples) if not k % 5]
+    whole = {tuple(words_of(t)) for texts in [*TEMPLATES.values(), NO_LICENCE] for t in texts}
+    held_at = {k for k, (_, words) in enumerate(examples) if not k % 5 and tuple(words) not in whole}
+    train_on = [x for k, x in enumerate(examples) if k not in held_at]
+    held = [examples[k] for k in sorted(held_at)]
     names = sorted({g for _, words in train_on for g in grams_of(words)})
     place = {g: k for k, g in enumerate(names)}
 
@@ -167,20 +172,14 @@ def cues() -> tuple[str, ...]:
     """
     rows = [shingles_of(words_of(t)) for texts in TEMPLATES.values() for t in texts]
     chosen: list[str] = []
-    free = lambda row: sum(1 for s in row if not set(s.split()) & set(chosen)) / len(row)
-    while left := [row for row in rows if free(row) >= SHARED]:
-        count = Counter(w for row in left for w in {w for s in row for w in s.split()} if len(w) >= 6)
-        count = count or Counter(w for row in left for s in row for w in s.split())
+    free = lambda row: [x for x in (s.split() for s in row) if not set(x) & set(chosen)]
+    while left := [f for row in rows if len(f := free(row)) >= SHARED * len(row)]:
+        count = Counter(w for f in left for w in {w for s in f for w in s})
+        count = {w: n for w, n in count.items() if len(w) >= 6} or count
         chosen.append(max(count, key=lambda w: (count[w], len(w), w)))
     return tuple(chosen)
 
 
-def _literals(model: Model) -> tuple[Column, list[tuple[str, str, Column, int]]]:
-    flat = itertools.chain.from_iterable((F.lit(g), F.array(*map(F.lit, w.tolist()))) for g, w in sorted(model.weights.items()))
-    templates = [(family, f"{family}/{k}", F.array(*map(F.lit, sorted(set(shingles_of(words_of(t)))))), len(set(shingles_of(words_of(t))))) for family, texts in sorted(TEMPLATES.items()) for k, t in enumerate(texts)]
-    return F.create_map(*flat), templates
-
-
 def paragraphs(text: Column) -> Column:
     """array of (nth, words) of the lines of text that have a cue."""
     lines = F.transform(F.split(F.lower(text), r"\r?\n"), lambda line, k: F.struct(k.alias("nth"), line.alias("line")))
@@ -195,44 +194,71 @@ def _has_cue(lowered: Column) -> Column:
     return found
 
 
+def _each(words: Column, n: int) -> Column:
+    """n-grams of words, space-joined, in order."""
+    none = F.array().cast("array<string>")
+    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda k: F.array_join(F.slice(words, k, n), " "))).otherwise(none)
+
+
+def _weights(spark: SparkSession, model: Model) -> DataFrame:
+    """gram and its weights in millionths, a column w0, w1, ... for each family; as many rows as the templates have n-grams."""
+    rows = [(g, *np.rint(w * MILLION).astype(int).tolist()) for g, w in sorted(model.weights.items())]
+    return F.broadcast(spark.createDataFrame(rows, "gram string, " + ", ".join(f"w{k} long" for k in range(len(model.families)))))
+
+
+def _shingles(spark: SparkSession) -> DataFrame:
+    """shingle, family, template, n (shingles of the template)."""
+    rows = [(s, family, f"{family}/{k}", len(set(shingles_of(words_of(t))))) for family, some in sorted(TEMPLATES.items()) for k, t in enumerate(some) for s in sorted(set(shingles_of(words_of(t))))]
+    return F.broadcast(spark.createDataFrame(rows, "shingle string, family string, template string, n int"))
+
+
+def scored(lines: DataFrame) -> DataFrame:
+    """(key, family, probability, template, shared) for each distinct line of lines (key, words), one row a key.
+
+    The n-grams of a line meet the model in a broadcast join on the n-gram, and their
+    weights are summed as integers, so sums don't depend on their order.
+    """
+    spark, model = lines.sparkSession, train()
+    n = len(model.families)
+    grams = F.array_distinct(F.concat(*[_each(F.col("words"), k) for k in range(1, MOST_GRAMS + 1)]))
+    met = lines.select("key", F.explode(grams).alias("gram")).join(_weights(spark, model), "gram")
+    sums = met.groupBy("key").agg(*[F.sum(f"w{k}").alias(f"w{k}") for k in range(n)])
+    own = F.when(F.size("words") < 3, F.array(F.array_join("words", " "))).otherwise(F.array_distinct(_each(F.col("words"), 3)))
+    shares = lines.select("key", F.explode(own).alias("shingle")).join(_shingles(spark), "shingle")
+    shares = shares.groupBy("key", "family", "template", "n").agg(F.count("*").alias("met"))
+    shares = shares.select("key", F.struct((F.col("met") / F.col("n")).alias("shared"), "family", "template").alias("s"))
+    best = shares.groupBy("key").agg(F.max("s").alias("top"), F.collect_set(F.when(F.col("s.shared") >= SHARED, F.col("s.family"))).alias("agreed"))
+    rows = lines.select("key").join(sums, "key", "left").join(best, "key", "left")
+    logits = F.array(*[(F.coalesce(f"w{k}", F.lit(0)) + int(round(b * MILLION))) / MILLION / model.temperature for k, b in enumerate(model.bias.tolist())])
+    rows = rows.select("key", "top", "agreed", logits.alias("logits"))
+    rows = rows.withColumn("raised", F.transform("logits", lambda x: F.exp(x - F.array_max("logits"))))
+    total = F.aggregate("raised", F.lit(0.0), lambda x, y: x + y)
+    first = F.array_position("logits", F.array_max("logits")).cast("int")
+    rows = rows.select("key", "top", "agreed", F.element_at(F.array(*map(F.lit, model.families)), first).alias("said"), (1 / total).alias("sure"), (F.element_at("raised", n) / total).alias("unsure"))
+    stands = (F.col("said") != UNKNOWN) & (F.col("sure") >= SURE) & F.coalesce(F.array_contains("agreed", F.col("said")), F.lit(False))
+    return rows.select(
+        "key",
+        F.when(stands, F.col("said")).otherwise(UNKNOWN).alias("family"),
+        F.round(F.when(stands, F.col("sure")).otherwise(F.col("unsure")), 9).alias("probability"),
+        F.col("top.template").alias("template"),
+        F.coalesce("top.shared", F.lit(0.0)).alias("shared"),
+    )
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """A row for each paragraph with a cue: doc_id, paragraph (its line, from 0), family, probability, template, shared.
 
     family is the licence that stands, or ``unknown``; probability is its own. template is
-    the template that shares most of its shingles with the paragraph, of all families, and
-    shared that share. Null and empty texts give no rows; rows that repeat a doc_id are
-    each scanned; other columns are not read. A very long line is one paragraph, scored
-    over all of its distinct n-grams.
+    the template that shares most of its shingles with the paragraph, of all families
+    (null if none shares any), and shared that share. Equal lines are scored once. Null
+    and empty texts give no rows; rows that repeat a doc_id are each scanned; other
+    columns are not read. A very long line is one paragraph, scored over all of its
+    distinct n-grams.
     """
-    model = train()
-    weights, templates = _literals(model)
     rows = docs.filter(_has_cue(F.lower("text"))).select("doc_id", F.explode(paragraphs(F.col("text"))).alias("p"))
-    words = F.col("words")
-    each = lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda k: F.array_join(F.slice(words, k, n), " "))).otherwise(F.array().cast("array<string>"))
-    rows = rows.select("doc_id", F.col("p.nth").alias("paragraph"), F.col("p.words").alias("words")).withColumn("threes", each(3))
-    grams = F.array_distinct(F.concat(*[each(n) for n in range(1, MOST_GRAMS)], "threes"))
-    start = F.array(*map(F.lit, model.bias.tolist()))
-    known = F.filter(F.transform(grams, lambda g: F.element_at(F.col("weights"), g)), lambda w: w.isNotNull())
-    logits = F.aggregate(known, start, lambda sofar, w: F.zip_with(sofar, w, lambda a, b: a + b))
-    rows = rows.withColumn("weights", weights).withColumn("logits", logits).drop("weights")
-    raised = F.transform("logits", lambda x: F.exp((x - F.array_max("logits")) / model.temperature))
-    rows = rows.withColumn("raised", raised).withColumn("sum", F.aggregate("raised", F.lit(0.0), lambda a, b: a + b))
-    own = F.when(F.size(words) < 3, F.array(F.array_join(words, " "))).otherwise(F.array_distinct("threes"))
-    shares = [F.struct((F.size(F.array_intersect("own", shingles)) / n).alias("shared"), F.lit(family).alias("family"), F.lit(name).alias("template")) for family, name, shingles, n in templates]
-    rows = rows.withColumn("own", own).withColumn("shares", F.array(*shares))
-    best = F.array_position("raised", F.array_max("raised")).cast("int")
-    rows = rows.withColumn("family", F.element_at(F.array(*map(F.lit, model.families)), best)).withColumn("probability", F.array_max("raised") / F.col("sum"))
-    agrees = F.exists("shares", lambda s: (s["family"] == F.col("family")) & (s["shared"] >= SHARED))
-    stands = (F.col("family") != UNKNOWN) & (F.col("probability") >= SURE) & agrees
-    top = F.array_max("shares")
-    return rows.select(
-        "doc_id",
-        "paragraph",
-        F.when(stands, F.col("family")).otherwise(UNKNOWN).alias("family"),
-        F.when(stands, F.col("probability")).otherwise(F.element_at("raised", len(model.families)) / F.col("sum")).alias("probability"),
-        top["template"].alias("template"),
-        top["shared"].alias("shared"),
-    )
+    rows = stored(rows.select("doc_id", F.col("p.nth").alias("paragraph"), F.md5(F.array_join("p.words", " ")).alias("key"), F.col("p.words").alias("words")), "paragraphs")
+    lines = rows.groupBy("key").agg(F.first("words").alias("words"))
+    return rows.select("doc_id", "paragraph", "key").join(scored(lines), "key").drop("key")
 
 
 def expected(text: str | None) -> list[tuple[int, str]]:
