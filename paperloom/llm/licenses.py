@@ -106,6 +106,9 @@ def _examples() -> list[tuple[str, list[str]]]:
             found += [(family, [*words[:k], strange[k % 4], *words[k:]]) for k in range(1, len(words), 5)]
     # fragments of templates too short to tell, and no words at all
     found += [(UNKNOWN, [w]) for texts in TEMPLATES.values() for t in texts for w in words_of(t)[:: max(1, len(words_of(t)) // 4)]]
+    # a changed template may be another family's template, which it then doesn't teach
+    whole = {tuple(words_of(t)): family for family, texts in TEMPLATES.items() for t in texts}
+    found = [(family, words) for family, words in found if whole.get(tuple(words), family) == family]
     return [*found, *[(UNKNOWN, [])] * 5]
 
 
