@@ -229,7 +229,8 @@ def _hashed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 def starts(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
     """(doc_id, h, spans): for texts of marked docs that have any, arrays of [first, last] starts of repeated strings."""
     found = phrases(docs, length)
-    often = found.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
+    # stored: the join then reads two plain exchanges, and Spark splits the phrases of a hot trigger over tasks
+    often = stored(found.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"), "triggers")
     met = stored(found.join(often, "a"), "phrases")
     entries = met.groupBy("a", "e").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "x", "before", "after")).alias("at"))
     entries = stored(entries, "entries")
