@@ -50,7 +50,7 @@ def _tokens(x: str) -> str:
 
 
 _SIGNALS = rf"""
-SELECT document_id, page_num, chars, CASE WHEN chars < 50 THEN 0.8 ELSE 0.0 END AS image_area_ratio, chars > 100 AS is_searchable,
+SELECT document_id, page_num, chars, (CASE WHEN chars < 50 THEN 0.8 ELSE 0.0 END)::DOUBLE AS image_area_ratio, chars > 100 AS is_searchable,
        (contains(t, '  ') AND length(regexp_replace(t, '[^0-9]', '', 'g')) > 30) OR contains(t, chr(9)) AS table_hit,
        {_any("lower(t)", ("watermark", "confidential"))} AS has_watermarks, {_any("lower(t)", ("signature", "signed"))} AS has_signatures, t
 FROM (SELECT *, length({_strip("t")}) AS chars FROM (SELECT document_id, page_num, coalesce(text, '') AS t FROM pages_in))"""
@@ -137,9 +137,9 @@ ORACLE["language_and_domain"] = f"""
 WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, lower(coalesce(text, '')) AS low FROM documents),
 h AS (SELECT *, {_HITS}, {" + ".join(f"contains(low, '{w}')::INT" for w in triage.ENGLISH)} AS en FROM d),
 x AS (SELECT *, greatest({", ".join(f"h{k}" for k in range(len(triage.DOMAINS)))}) AS most FROM h)
-SELECT document_id, CASE WHEN en >= 5 THEN 'en' ELSE 'unknown' END AS language, CASE WHEN en >= 5 THEN 0.8 ELSE 0.5 END AS language_confidence,
+SELECT document_id, CASE WHEN en >= 5 THEN 'en' ELSE 'unknown' END AS language, (CASE WHEN en >= 5 THEN 0.8 ELSE 0.5 END)::DOUBLE AS language_confidence,
        CASE WHEN most = 0 THEN 'general' {" ".join(f"WHEN h{k} = most THEN '{name}'" for k, name in enumerate(triage.DOMAINS))} END AS domain_hint,
-       CASE WHEN most = 0 THEN 0.5 ELSE round(least(most / 3, 1.0), 6) END AS domain_confidence FROM x"""
+       (CASE WHEN most = 0 THEN 0.5 ELSE round(least(most / 3, 1.0), 6) END)::DOUBLE AS domain_confidence FROM x"""
 
 
 @query
@@ -293,7 +293,7 @@ def page_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE["page_index"] = f"""
 SELECT CAST(doc_id AS VARCHAR) AS document_id, 1 AS page_num, 'text_only' AS content_type, len({_words("t")}) AS word_count, length(t) - length(replace(t, chr(10), '')) + 1 AS line_count,
-       round(least(1.0, len({_words("t")}) / 1000), 6) AS text_density, sha256(left(t, 200)) AS summary_sha256 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"""
+       round(least(1.0, len({_words("t")}) / 1000)::DOUBLE, 6) AS text_density, sha256(left(t, 200)) AS summary_sha256 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"""
 
 
 @query
