@@ -122,6 +122,6 @@ def served(docs: DataFrame) -> DataFrame:
     marked = docs.withColumn("__row", F.xxhash64(*docs.columns))
     sizes = marked.select("doc_id", "source", n_words(F.col("text")).alias("size"), "__row")
     queue = queued(stored(sizes.groupBy("doc_id", "source", "__row").agg(F.sum("size").alias("size")), "sizes"))
-    sent = schedule(queue).select(F.col("doc_id").alias("__id"), F.col("__row").alias("__sent"), "finish")
+    sent = schedule(queue).select(F.col("doc_id").alias("__id"), F.col("__row").alias("__sent"), F.col("finish").alias("__finish"))
     rows = marked.join(sent, (F.col("__row") == F.col("__sent")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    return rows.repartitionByRange("finish").sortWithinPartitions("finish").select(*docs.columns)
+    return rows.repartitionByRange("__finish").sortWithinPartitions("__finish").select(*docs.columns)
