@@ -6,6 +6,10 @@ and every score is one division, so results don't depend on the order of sums.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,19 +58,70 @@ def top_sections(sections: DataFrame, questions: DataFrame, k: int = 3) -> DataF
     return rows.withColumn("score", cosine).withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k).select("document_id", "question_id", "section_id", "nth", "score")
 
 
-def hashed_search(chunks: DataFrame, questions: DataFrame, k: int = 3) -> DataFrame:
+def _buckets(text: Column) -> Column:
+    return F.transform(T.tokens(text), lambda t: bucket(t))
+
+
+def _dense(held: pa.Array) -> np.ndarray:
+    """Counts of buckets, a row for each list."""
+    sizes = np.diff(held.offsets.to_numpy())
+    counts = np.zeros((len(held), DIM))
+    np.add.at(counts, (np.repeat(np.arange(len(held)), sizes), held.values.slice(held.offsets[0].as_py(), int(sizes.sum())).to_numpy()), 1)
+    return counts
+
+
+def hashed_search(chunks: DataFrame, questions: DataFrame, k: int = 3, block: int = 4096) -> DataFrame:
     """The k chunks (chunk_id, text) of all by hashed cosine with each question (question_id, question); of equals the smallest chunk_id.
 
-    Chunks and questions meet where they share a bucket of the vector; questions are the
-    small side. Chunks without a shared bucket score 0 and are not returned.
+    Questions are a stated set, sent to the tasks in blocks of at most block; each block is
+    one pass over the chunks in which a batch is one product of matrices, and a task sends
+    on k chunks for each question: chunks are never shuffled. Chunks without a shared
+    bucket or an id are not returned, nor are questions without an id or tokens.
     """
-    mine = counted(chunks, ["chunk_id"], F.col("text"), hashed=True)
-    asked = counted(questions, ["question_id"], F.col("question"), hashed=True).withColumnRenamed("n", "q")
-    dots = mine.join(asked, "term").groupBy("chunk_id", "question_id").agg(F.sum(F.col("n") * F.col("q")).alias("dot"))
-    rows = dots.join(_norms(mine, ["chunk_id"], "a"), "chunk_id").join(_norms(asked.withColumnRenamed("q", "n"), ["question_id"], "b"), "question_id")
-    rows = rows.withColumn("score", F.col("dot") / F.sqrt((F.col("a") * F.col("b")).cast("double")))
-    best = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
-    return rows.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k).select("question_id", "chunk_id", "nth", "score")
+    asked = questions.select("question_id", _buckets(F.col("question")).alias("b")).filter("question_id IS NOT NULL AND size(b) > 0")
+    rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), _buckets(F.col("text")).alias("b")).filter("chunk_id IS NOT NULL AND size(b) > 0")
+    schema = pa.schema([("question_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())])
+    sent = asked.sparkSession.sparkContext.broadcast
+
+    def best(q: np.ndarray, c: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The k best rows of each question."""
+        order = np.lexsort((c, -s, q))
+        q, c, s = q[order], c[order], s[order]
+        first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
+        nth = np.arange(len(q)) - np.repeat(first, np.diff([*first, len(q)]))
+        return q[nth < k], c[nth < k], s[nth < k]
+
+    def searched(ids: np.ndarray, counts: np.ndarray) -> DataFrame:
+        held = sent((ids, counts))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, asked = held.value
+            b = (asked * asked).sum(axis=1)
+            top = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1000):
+                    part = batch.slice(at, 1000)
+                    mine, chunk = _dense(part.column(1)), part.column(0).to_numpy()
+                    scores = mine @ asked.T / np.sqrt((mine * mine).sum(axis=1)[:, None] * b[None, :])
+                    least = np.partition(scores, -k, axis=0)[-k] if len(scores) > k else np.zeros(len(ids))
+                    c, q = np.nonzero((scores > 0) & (scores >= least))
+                    top = best(*(np.concatenate(x) for x in zip(top, (ids[q], chunk[c], scores[c, q]), strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in top], schema=schema)
+
+        return rows.mapInArrow(run, "question_id long, chunk_id long, score double")
+
+    found = chunks.sparkSession.createDataFrame([], "question_id long, chunk_id long, score double")
+    waiting: list = []
+    for row in [*asked.toLocalIterator(), None]:
+        if row is not None:
+            waiting.append(row)
+        if waiting and (row is None or len(waiting) >= block):
+            counts = np.zeros((len(waiting), DIM))
+            for at, each in enumerate(waiting):
+                np.add.at(counts[at], each.b, 1)
+            found, waiting = found.union(searched(np.array([w.question_id for w in waiting], np.int64), counts)), []
+    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
+    return found.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k).select("question_id", "chunk_id", "nth", "score")
 
 
 def vector_topk(vectors: DataFrame, query: list[float], k: int = 3) -> DataFrame:
