@@ -8,13 +8,14 @@ round the documents.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import answers, calibration, chunking, extraction, facts, records, search, sections, triage
+from ..operators import answers, calibration, chunking, extraction, facts, records, reports, search, sections, triage
 from ..sources import readers
 from ..sources.readers import table
 
@@ -33,6 +34,10 @@ _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WS = r"[ \t\n\x0B\f\r]+"
 
 
+#: A text, or none.
+_TEXT = "coalesce(text, '')"
+
+
 def _strip(x: str) -> str:
     return f"trim({x}, {_BLANKS})"
 
@@ -360,6 +365,27 @@ def facts_by_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.by_question(_facts(spark, sf_dir), _fixed(spark, sf_dir)).select("question_id", "document_id", "id", "value", "score", "nth")
 
 
+def _listed(k: int, question: str) -> str:
+    """A fixed question as SQL values: remainder, year, month, whether it asks for inflation, its strong phrases and its terms."""
+    low = question.lower()
+    terms = list(dict.fromkeys([p for p in facts.PHRASES if p in low] + [w for w in re.findall("[a-z]{4,}", low) if w not in facts.STOP]))[: facts.MOST_TERMS]
+    year, month = re.search(r"\b(?:19|20)\d{2}\b", question), re.search(rf"\b({'|'.join(T.MONTHS)})\b", low)
+    return f"({k}, '{year[0] if year else ''}', '{month[0] if month else ''}', {'inflation' in low}, {[p for p in facts.STRONG if p in low]}::VARCHAR[], {terms})"
+
+
+ORACLE["facts_by_question"] = f"""
+WITH {_DOCS}, {_LDUS}, {_FACTS},
+asked(r, yr, mo, inflation, strong, terms) AS (VALUES {", ".join(_listed(k, x) for k, x in enumerate(FIXED))}),
+met AS (SELECT f.*, a.*, lower(metric) AS lm, lower(sentence) AS ls, unnest(terms) AS term, generate_subscripts(terms, 1) AS term_ord FROM fx f JOIN asked a ON CAST(f.document_id AS BIGINT) % {len(FIXED)} = a.r),
+late AS (SELECT *, row_number() OVER (PARTITION BY document_id, term_ord ORDER BY id DESC) AS late FROM met WHERE contains(lm, term) OR contains(ls, term)),
+scored AS (
+  SELECT *, (list_sum(list_transform(terms, lambda t: 2 * contains(lm, t)::INT + contains(ls, t)::INT)) + CASE WHEN yr <> '' AND contains(date, yr) THEN 3 ELSE 0 END + CASE WHEN mo <> '' AND contains(ls, mo) THEN 2 ELSE 0 END
+         + CASE WHEN inflation THEN CASE WHEN unit = '%' THEN 1 ELSE -2 END + CASE WHEN value > 100 THEN -4 ELSE 0 END ELSE 0 END + 3 * len(list_filter(strong, lambda p: contains(ls, p))))::INTEGER AS score FROM late WHERE late <= 10),
+once AS (SELECT *, row_number() OVER (PARTITION BY document_id, page_num, content_hash, value ORDER BY score DESC, term_ord, id DESC) AS copy FROM scored WHERE score > 0),
+best AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, term_ord, id DESC) AS nth FROM once WHERE copy = 1)
+SELECT CAST(document_id AS BIGINT) AS question_id, document_id, id, value, score, nth FROM best WHERE nth <= 5"""
+
+
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(question_id, document_id, question): benchmark items asked of conversations."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), F.pmod("item_id", F.lit(ASKED)).alias("r"))
@@ -392,6 +418,40 @@ tops AS (SELECT *, row_number() OVER (PARTITION BY document_id, question_id ORDE
 ORACLE["top_sections"] = f"WITH {_CONVS}, {_LDUS}, {_TITLES}, {_ASKED}, {_TOP} SELECT document_id, question_id, section_id, nth, round(score, 9) AS score FROM tops WHERE nth <= 3"
 
 
+@query
+def page_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strategy of each turn in the hybrid mode."""
+    signals = triage.page_signals(readers.conversation_pages(table(spark, sf_dir, "conversations")))
+    pages = readers.conversation_pages(table(spark, sf_dir, "conversations")).select("document_id", "page_num", "text")
+    plan = extraction.page_plan(F.coalesce("text", F.lit("")), F.col("image_area_ratio"), F.lit(1), F.col("table_hit"))
+    return pages.join(signals.select("document_id", "page_num", "image_area_ratio", "table_hit"), ["document_id", "page_num"]).select("document_id", "page_num", plan.alias("strategy"))
+
+
+ORACLE["page_plan"] = f"WITH {_CONVS}, s AS ({_SIGNALS}) SELECT document_id, page_num, CASE WHEN chars < 80 OR image_area_ratio > 0.7 THEN 'vision' WHEN table_hit OR image_area_ratio > 0.3 THEN 'layout' ELSE 'fast_text' END AS strategy FROM s"
+
+
+@query
+def page_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = readers.document_pages(table(spark, sf_dir, "documents")).withColumn("confidence", F.lit(0.99))
+    return reports.page_table(pages)
+
+
+ORACLE["page_previews"] = f"SELECT CAST(doc_id AS VARCHAR) AS document_id, 1 AS page_num, 'p. 1' AS label, 0.99::DOUBLE AS confidence, left(flat, 140) AS preview, contains(lower(flat), 'mock') AS mock FROM (SELECT doc_id, {_COLLAPSE(_TEXT)} AS flat FROM documents)"
+
+
+@query
+def retrieval_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, bodies = _asked(spark, sf_dir).filter("question IS NOT NULL"), _section_bodies(spark, sf_dir)
+    found = reports.first_match_precision(search.top_sections(bodies, asked), bodies, asked)
+    return found.select("question_id", "document_id", F.round("precision", 6).alias("precision"))
+
+
+ORACLE["retrieval_precision"] = f"""
+WITH {_CONVS}, {_LDUS}, {_TITLES}, {_ASKED}, {_TOP}
+SELECT question_id, document_id, round(avg((len(list_filter({_tokens("question")}, lambda t: contains(lower(sbody), t))) > 0)::INT), 6) AS precision
+FROM tops JOIN bodies USING (document_id, section_id) JOIN asked USING (document_id, question_id) WHERE nth <= 3 GROUP BY ALL"""
+
+
 @query
 def hashed_semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three documents nearest to each benchmark item by hashed vectors."""
