@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer, models
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from .shared import texts
 
@@ -141,13 +141,25 @@ class Tokens:
             model = json.load(f)["model"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.model = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=model["end_of_word_suffix"], cache_capacity=0))
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.ends_word = np.zeros(max(model["vocab"].values()) + 1, bool)
+        self.ends_word[[k for piece, k in model["vocab"].items() if piece.endswith(model["end_of_word_suffix"])]] = True
 
     def _ask(self, words: list[bytes]) -> None:
         plain = [w for w in words if _PLAIN(w)]
-        self._keep(self.model, plain, [w.decode("latin-1").translate(_BYTE_CHARS) for w in plain])
+        for at in range(0, len(plain), ASKED_AT_ONCE):
+            self._keep_joined(plain[at : at + ASKED_AT_ONCE])
         other = list(set(words).difference(plain))
         self._keep(self.tokenizer, other, list(map(bytes.decode, other)))
 
+    def _keep_joined(self, words: list[bytes]) -> None:
+        """Plain words asked for as one text: a word's last piece, and no other, is one that ends words."""
+        asked = " ".join([w.decode("latin-1").translate(_BYTE_CHARS) for w in words])
+        ids = np.array(self.model.encode_batch_fast([asked], add_special_tokens=False)[0].ids, "<u4")
+        ends = [0, *(4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()]
+        flat = ids.tobytes()
+        self.known.update((word, flat[s:e]) for word, s, e in zip(words, ends[:-1], ends[1:], strict=True))
+
     def _keep(self, tokenizer: Tokenizer, words: list[bytes], asked: list[str]) -> None:
         for at in range(0, len(words), ASKED_AT_ONCE):
             ids = [got.ids for got in tokenizer.encode_batch_fast(asked[at : at + ASKED_AT_ONCE], add_special_tokens=False)]
@@ -167,9 +179,18 @@ class Tokens:
             self.known = dict(islice(self.known.items(), REMEMBERED // 2))
         split = [t.lower().split() if t and b"<|" not in t else [] for t in some]
         found = [list(map(self.known.get, words)) for words in split]
-        self.learn({word for words, codes in zip(split, found, strict=True) if None in codes for word, code in zip(words, codes, strict=True) if code is None})
+        joined: list[bytes] = []
+        lacking: list[int] = []
+        for at, codes in enumerate(found):
+            try:
+                joined.append(b"".join(codes))
+            except TypeError:  # a word is new; looking for it before would compare every code
+                joined.append(b"")
+                lacking.append(at)
+        self.learn({word for at in lacking for word, code in zip(split[at], found[at], strict=True) if code is None})
         known = self.known.__getitem__
-        joined = [b"".join(map(known, words) if None in codes else codes) for words, codes in zip(split, found, strict=True)]
+        for at in lacking:
+            joined[at] = b"".join(map(known, split[at]))
         return [self._whole(text) if text and b"<|" in text else code for text, code in zip(some, joined, strict=True)]
 
     def _whole(self, text: bytes | None) -> bytes:
