@@ -53,52 +53,62 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.filter("vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL").select("vec_id", "label", doubles.alias("v")).filter(fine)
 
 
-def _compared(rows: list[dict], threshold: float) -> dict[str, list]:
+def _compared(rows: dict[str, np.ndarray], threshold: float) -> pa.RecordBatch:
     """For the rows that meet in one bucket of one table: (rep, links, root) of each vector that has links."""
-    table = rows[0]["table"]
-    v = np.array([r["v"] for r in rows])
-    v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
-    meets = np.array([r["signs"] for r in rows])
-    weight, side, rep = (np.array([r[k] for r in rows]) for k in ("n", "side", "rep"))
-    n = len(rows)
+    table, v, meets, weight, side, rep = int(rows["table"][0]), rows["v"], rows["signs"], rows["n"], rows["side"], rows["rep"]
+    v = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+    n = len(v)
     linked = np.zeros((n, n), bool)
-    for s in range(0, n, 256):
-        near = v[s : s + 256] @ v.T >= threshold
+    for s in range(0, n, _STRIPE):
+        near = v[s : s + _STRIPE] @ v.T >= threshold
         # parts other than the two of a pair of parts, and pairs met in an earlier table, count elsewhere
-        near &= (side[s : s + 256, None] != side[None, :]) | (side[s : s + 256, None] == 0)
+        near &= (side[s : s + _STRIPE, None] != side[None, :]) | (side[s : s + _STRIPE, None] == 0)
         for t in range(table):
-            near &= meets[s : s + 256, t, None] != meets[None, :, t]
-        linked[s : s + 256] = near
+            near &= meets[s : s + _STRIPE, t, None] != meets[None, :, t]
+        linked[s : s + _STRIPE] = near
     np.fill_diagonal(linked, False)
     links = linked @ weight
     label = np.arange(n)
     while True:
-        new = np.minimum(label, np.where(linked, label[None, :], n).min(axis=1))
+        least = [np.where(linked[s : s + _STRIPE], label[None, :], n).min(axis=1) for s in range(0, n, _STRIPE)]
+        new = np.minimum(label, np.concatenate(least))
         new = new[new]
         if (new == label).all():
             break
         label = new
     has = np.flatnonzero(links)
-    return {"rep": rep[has].tolist(), "links": links[has].tolist(), "root": rep[label[has]].tolist()}
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (rep[has], links[has], rep[label[has]])], schema=_LINKS)
 
 
 _LINKS = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 _KEY = ("label", "table", "bucket", "pair")
+#: Rows of a comparison at once.
+_STRIPE = 256
+#: Rows taken from Arrow at once.
+_TAKEN = 1000
+
+
+def _arrays(b: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """Columns as arrays; lists, all of one length, as matrices."""
+    flat = {k: b.column(k) for k in b.schema.names}
+    return {k: np.array(c.flatten()).reshape(b.num_rows, -1) if pa.types.is_list(c.type) else np.array(c) for k, c in flat.items()}
 
 
 def _links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    held: list[dict] = []
-    key = None
+    """Rows come sorted by key; a key's rows are compared when the next key begins."""
+    held: dict[str, np.ndarray] = {}
     for b in batches:
-        for row in b.to_pylist():
-            now = tuple(row[k] for k in _KEY)
-            if now != key and len(held) > 1:
-                yield pa.RecordBatch.from_pydict(_compared(held, threshold), schema=_LINKS)
-            if now != key:
-                held, key = [], now
-            held.append(row)
-    if len(held) > 1:
-        yield pa.RecordBatch.from_pydict(_compared(held, threshold), schema=_LINKS)
+        for at in range(0, b.num_rows, _TAKEN):
+            more = _arrays(b.slice(at, _TAKEN))
+            held = {k: np.concatenate([held[k], x]) for k, x in more.items()} if held else more
+            keys = np.stack([held[k] for k in _KEY], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if e - s > 1:
+                    yield _compared({k: x[s:e] for k, x in held.items()}, threshold)
+            held = {k: x[cuts[-1] :] for k, x in held.items()}
+    if held and len(held["rep"]) > 1:
+        yield _compared(held, threshold)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, crowd: int = CROWD) -> DataFrame:
