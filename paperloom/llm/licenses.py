@@ -1,6 +1,7 @@
 """Licence scans: a trained paragraph classifier over sparse word n-grams, confirmed by templates.
 
-A paragraph is a line of a text. Its words (letters, digits and dots, lower case) give
+A paragraph is a line of a text, or a span of consecutive lines over which a notice is
+wrapped (``reach()`` words may lie between the first line and the last). Its words (letters, digits and dots, lower case) give
 n-grams of one to three words; a multinomial logistic regression over the n-grams of the
 training paragraphs scores each licence family and a class ``unknown``, whose paragraphs
 speak of licences without granting one. The scores are calibrated by one temperature,
@@ -183,11 +184,39 @@ def cues() -> tuple[str, ...]:
     return tuple(chosen)
 
 
+def reach() -> int:
+    """Words of the longest template, and half as many that a changed notice may have more."""
+    return max(len(words_of(t)) for texts in TEMPLATES.values() for t in texts) * 3 // 2
+
+
 def paragraphs(text: Column) -> Column:
-    """array of (nth, words) of the lines of text that have a cue."""
-    lines = F.transform(F.split(F.lower(text), r"\r?\n"), lambda line, k: F.struct(k.alias("nth"), line.alias("line")))
-    seen = F.filter(lines, lambda x: _has_cue(x["line"]))
-    return F.transform(seen, lambda x: F.struct(x["nth"].alias("nth"), F.regexp_extract_all(x["line"], F.lit(f"({_WORD})"), F.lit(1)).alias("words")))
+    """array of (nth, lines, words): the lines of text that have a cue, and the spans of lines without a blank one between that have.
+
+    Of a span's first line only the last reach() words count, and of its last line the
+    first, as more is no part of a notice that is wrapped there.
+    """
+    lines = F.transform(F.split(F.lower(text), r"\r?\n"), lambda line: F.struct(_has_cue(line).alias("cue"), F.regexp_extract_all(line, F.lit(f"({_WORD})"), F.lit(1)).alias("words")))
+    one, most = F.lit(1), reach()
+    near = lambda x, k: F.exists(F.slice(x, k, most + 2), lambda y: y["cue"])
+
+    def spans(x: Column, k: Column) -> Column:
+        """From line k (from 1): it alone, then with more lines."""
+        first = F.element_at(x, k)["words"]
+        last = F.least(k + most + 1, F.size(x))
+        ends = F.filter(
+            F.when(last > k, F.sequence(k + 1, last)).otherwise(F.array().cast("array<int>")),
+            lambda e: ~F.exists(F.slice(x, k, e - k + 1), lambda y: F.size(y["words"]) == 0)
+            & (F.aggregate(F.slice(x, k + 1, e - k - 1), F.lit(0), lambda n, y: n + F.size(y["words"])) < most)
+            & F.exists(F.slice(x, k, e - k + 1), lambda y: y["cue"]),
+        )
+        whole = lambda e: F.concat(
+            F.slice(first, F.greatest(one, F.size(first) - most + 1), most), F.flatten(F.transform(F.slice(x, k + 1, e - k - 1), lambda y: y["words"])), F.slice(F.element_at(x, e)["words"], 1, most)
+        )
+        own = F.filter(F.array(F.struct(k.alias("e"), first.alias("words"))), lambda _: F.element_at(x, k)["cue"])
+        more = F.transform(ends, lambda e: F.struct(e.alias("e"), whole(e).alias("words")))
+        return F.transform(F.concat(own, more), lambda s: F.struct((k - 1).alias("nth"), (s["e"] - k + 1).alias("lines"), s["words"].alias("words")))
+
+    return F.flatten(F.transform(F.filter(F.sequence(one, F.size(lines)), lambda k: near(lines, k)), lambda k: spans(lines, k)))
 
 
 def _has_cue(lowered: Column) -> Column:
@@ -249,32 +278,68 @@ def scored(lines: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """A row for each paragraph with a cue: doc_id, paragraph (its line, from 0), family, probability, template, shared.
-
-    family is the licence that stands, or ``unknown``; probability is its own. template is
-    the template that shares most of its shingles with the paragraph, of all families
-    (null if none shares any), and shared that share. Equal lines are scored once. Null
-    and empty texts give no rows; rows that repeat a doc_id are each scanned; other
-    columns are not read. A very long line is one paragraph, scored over all of its
+    """A row for each paragraph with a cue: doc_id, paragraph (its first line, from 0), family, probability, template, shared.
+
+    Each line with a cue has a row. A span of lines has one, which is then its first
+    line's row, if a licence stands in it, no line of it stands alone for that family nor
+    its first line for any, no span within it has the same family by as large a share,
+    and it lies within no such span of a larger share; of those from one line the one of
+    the largest share counts, then the shortest. family is the licence that stands, or ``unknown``; probability is its own.
+    template is the template that shares most of its shingles with the paragraph, of all
+    families (null if none shares any), and shared that share. Equal paragraphs are scored
+    once. Null and empty texts give no rows; rows that repeat a doc_id are each scanned;
+    other columns are not read. A very long line is one paragraph, scored over all of its
     distinct n-grams.
     """
-    rows = docs.filter(_has_cue(F.lower("text"))).select("doc_id", F.explode(paragraphs(F.col("text"))).alias("p"))
-    rows = stored(rows.select("doc_id", F.col("p.nth").alias("paragraph"), F.md5(F.array_join("p.words", " ")).alias("key"), F.col("p.words").alias("words")), "paragraphs")
+    held = docs.filter(_has_cue(F.lower("text"))).select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    rows = held.select("doc_id", "row", F.explode(paragraphs(F.col("text"))).alias("p"))
+    rows = stored(rows.select("doc_id", "row", F.col("p.nth").alias("paragraph"), F.col("p.lines").alias("lines"), F.md5(F.array_join("p.words", " ")).alias("key"), F.col("p.words").alias("words")), "paragraphs")
     lines = rows.groupBy("key").agg(F.first("words").alias("words"))
-    return rows.select("doc_id", "paragraph", "key").join(scored(lines), "key").drop("key")
+    found = rows.select("doc_id", "row", "paragraph", "lines", "key").join(scored(lines), "key").drop("key")
+    found = found.filter((F.col("lines") == 1) | (F.col("family") != UNKNOWN))
+    unit = F.struct("doc_id", "paragraph", "lines", "family", "probability", "template", "shared")
+    units = found.groupBy("row").agg(F.collect_list(unit).alias("all"))
+    none = lambda some, f: ~F.exists(some, f)
+    within = lambda x, y: (x["paragraph"] >= y["paragraph"]) & (x["paragraph"] + x["lines"] <= y["paragraph"] + y["lines"])
+    units = units.withColumn("alone", F.filter("all", lambda u: (u["lines"] == 1) & (u["family"] != UNKNOWN)))
+    units = units.withColumn("spans", F.filter("all", lambda s: (s["lines"] > 1) & none(F.col("alone"), lambda u: within(u, s) & ((u["family"] == s["family"]) | (u["paragraph"] == s["paragraph"])))))
+    units = units.withColumn("least", F.filter("spans", lambda s: none(F.col("spans"), lambda u: (u["lines"] < s["lines"]) & within(u, s) & (u["family"] == s["family"]) & (u["shared"] >= s["shared"]))))
+    units = units.withColumn("whole", F.filter("least", lambda s: none(F.col("least"), lambda u: within(s, u) & (u["shared"] > s["shared"]))))
+    units = units.withColumn("kept", F.filter("whole", lambda s: none(F.col("whole"), lambda u: (u["paragraph"] == s["paragraph"]) & (u["lines"] < s["lines"]) & (u["shared"] == s["shared"]))))
+    rest = F.filter("all", lambda u: (u["lines"] == 1) & none(F.col("kept"), lambda s: s["paragraph"] == u["paragraph"]))
+    kept = units.select(F.explode(F.concat("kept", rest)).alias("x"))
+    return kept.select("x.doc_id", "x.paragraph", "x.family", "x.probability", "x.template", "x.shared")
 
 
 def expected(text: str | None) -> list[tuple[int, str]]:
     """(paragraph, family) as scan gives them, in plain Python."""
-    model, found = train(), []
-    for nth, line in enumerate(re.split(r"\r?\n", (text or "").lower())):
-        if not any(c in line for c in cues()):
-            continue
-        p = model.probabilities(line)
-        best, own = int(p.argmax()), set(shingles_of(words_of(line)))
-        family = model.families[best]
-        fits = any(len(own & set(t)) / len(set(t)) >= SHARED for t in (shingles_of(words_of(x)) for x in TEMPLATES.get(family, ())))
-        found.append((nth, family if family != UNKNOWN and p[best] >= SURE and fits else UNKNOWN))
-    return found
-
-
+    lines, most = [(line, words_of(line)) for line in re.split(r"\r?\n", (text or "").lower())], reach()
+    cue = [any(c in line for c in cues()) for line, _ in lines]
+
+    def judged(words: list[str]) -> tuple[str, float]:
+        """The family, and the largest share of any template."""
+        model, own = train(), set(shingles_of(words))
+        p = model.probabilities(" ".join(words))
+        family = model.families[int(p.argmax())]
+        shares = {f: max(len(own & set(t)) / len(set(t)) for t in (shingles_of(words_of(x)) for x in some)) for f, some in TEMPLATES.items()}
+        return family if family != UNKNOWN and p.max() >= SURE and shares[family] >= SHARED else UNKNOWN, max(shares.values())
+
+    alone: dict[int, str] = {}
+    spans: list[tuple[int, int, str, float]] = []  # first line, line after the last, family, share
+    for k, (_, first) in enumerate(lines):
+        if cue[k]:
+            alone[k] = judged(first)[0]
+        between: list[str] = []
+        for e in range(k + 1, len(lines)):
+            if not first or not lines[e][1] or len(between) >= most:
+                break
+            if any(cue[k : e + 1]):
+                spans.append((k, e + 1, *judged([*first[-most:], *between, *lines[e][1][:most]])))
+            between = [*between, *lines[e][1]]
+    stands = {k: f for k, f in alone.items() if f != UNKNOWN}
+    spans = [s for s in spans if s[2] != UNKNOWN and s[0] not in stands and s[2] not in [stands.get(k) for k in range(*s[:2])]]
+    within = lambda x, y: x[:2] != y[:2] and y[0] <= x[0] and x[1] <= y[1]
+    least = [s for s in spans if not any(within(u, s) and u[2] == s[2] and u[3] >= s[3] for u in spans)]
+    whole = [s for s in least if not any(within(s, u) and u[3] > s[3] for u in least)]
+    kept = [s for s in whole if not any(u[0] == s[0] and u[1] < s[1] and u[3] == s[3] for u in whole)]
+    return sorted([(s[0], s[2]) for s in kept] + [x for x in alone.items() if x[0] not in {s[0] for s in kept}])

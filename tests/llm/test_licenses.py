@@ -38,3 +38,23 @@ def test_changed_notices_hold(spark):
     assert L.expected(text) == [(0, "apache-2.0")]
     p = L.train().probabilities(text)
     assert abs(p.sum() - 1) < 1e-9
+
+
+WRAPPED = {
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet:",
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "agpl-3.0": "This program is free software: you can redistribute it\nunder the terms of the GNU Affero\nGeneral Public License, version 3.",
+    "isc": "Permission to use, copy, modify, and/or distribute this\nsoftware for any purpose with or without fee\nis hereby granted, provided that the notice appears in all copies.",
+}
+
+
+def test_wrapped_notices(spark):
+    texts = []
+    for family, text in WRAPPED.items():
+        assert [x for x in L.expected(text) if x[1] != L.UNKNOWN] == [(0, family)], text
+        texts += [(family, 0, text), (family, 2, f"The river ran on and on\nuntil the sea\n{text}\nand so it went on."), (family, 3, f"zuon thea\r\nelle\r\n\r\n" + text.replace("\n", "\r\n"))]
+        assert not any(f == family for _, f in L.expected(text.replace("\n", "\n\n"))), text  # blank lines part paragraphs
+    got = run(spark, spark.createDataFrame([(k, t) for k, (_, _, t) in enumerate(texts)], "doc_id long, text string"))
+    assert Counter((r.doc_id, r.paragraph, r.family) for r in got) == Counter((k, p, f) for k, (_, _, t) in enumerate(texts) for p, f in L.expected(t))
+    for k, (family, at, _) in enumerate(texts):
+        assert [(r.paragraph, r.family) for r in got if r.doc_id == k and r.family != L.UNKNOWN] == [(at, family)]
