@@ -9,7 +9,7 @@ decoded.
 
 File format. A table of segments, one row each, in ascending order of ``part`` and
 ``segment``, written by Spark so that task retries and lost executors leave no debris:
-part, segment, n_docs, n_tokens, doc_ids (int64 each, little endian, with a null
+part, segment, before (ids of the part's earlier segments), n_docs, n_tokens, doc_ids (int64 each, little endian, with a null
 marker's bitmap ``null_ids``), offsets (int64, n_docs + 1 positions in the segment),
 and ``codes``, a self-contained blob: magic, number of levels, number of ids, then for
 each level its length, its bytes, its bitmap and its rank directory (the last level has
@@ -39,8 +39,8 @@ MAGIC = b"DAC1"
 RANK_BITS = 512
 END_ID = 2
 SEGMENT_TOKENS = 1 << 18
-#: Distinct words whose ids a Python worker remembers, about 0.2 kB each.
-REMEMBERED = 900_000
+#: Distinct words whose ids a Python worker remembers, about 0.15 kB each: 75 MB.
+REMEMBERED = 500_000
 #: Words of one call to the tokenizer.
 ASKED_AT_ONCE = 4096
 CODED_AT_ONCE = 1 << 20
@@ -120,8 +120,12 @@ class Codes:
 #: Lower-case words of Latin-1 letters, in UTF-8: composed, and one piece to a tokenizer that splits letters from the rest.
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
 _ENDED = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]+)").fullmatch
+#: ASCII marks.
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 #: Bytes as the byte-level alphabet writes them, where that isn't the Latin-1 character.
 _BYTE_CHARS = {byte: 256 + 33 + k for k, byte in enumerate([*range(127, 161), 173])}
+#: A word that stands between texts, and its code; no id has these bytes.
+_BETWEEN, _BETWEEN_CODE = b"\0", b"\xff\xff\xff\xff"
 
 
 class Tokens:
@@ -129,7 +133,8 @@ class Tokens:
 
     Valid for tokenizers that drop white space before they split and treat A-Z like
     a-z: texts are cut at ASCII white space, and the ids of a piece are remembered. A
-    text with ``<|`` in it may hold a special token, and goes to the library whole.
+    text with ``<|`` in it may hold a special token, and goes to the library whole, and
+    so does one with the character that stands between texts here.
     Words that normalising and splitting leave as they are go to the file's model alone,
     which is the same library without those steps.
     """
@@ -145,56 +150,62 @@ class Tokens:
         self.ends_word = np.zeros(max(model["vocab"].values()) + 1, bool)
         self.ends_word[[k for piece, k in model["vocab"].items() if piece.endswith(model["end_of_word_suffix"])]] = True
 
-    def _ask(self, words: list[bytes]) -> None:
-        plain = [w for w in words if _PLAIN(w)]
-        for at in range(0, len(plain), ASKED_AT_ONCE):
-            self._keep_joined(plain[at : at + ASKED_AT_ONCE])
-        other = list(set(words).difference(plain))
-        self._keep(self.tokenizer, other, list(map(bytes.decode, other)))
-
     def _keep_joined(self, words: list[bytes]) -> None:
         """Plain words asked for as one text: a word's last piece, and no other, is one that ends words."""
-        asked = " ".join([w.decode("latin-1").translate(_BYTE_CHARS) for w in words])
+        asked = b" ".join(words).decode("latin-1")
+        if not asked.isascii():
+            asked = asked.translate(_BYTE_CHARS)
         ids = np.array(self.model.encode_batch_fast([asked], add_special_tokens=False)[0].ids, "<u4")
         ends = [0, *(4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()]
         flat = ids.tobytes()
         self.known.update((word, flat[s:e]) for word, s, e in zip(words, ends[:-1], ends[1:], strict=True))
 
-    def _keep(self, tokenizer: Tokenizer, words: list[bytes], asked: list[str]) -> None:
+    def _keep(self, words: list[bytes]) -> None:
         for at in range(0, len(words), ASKED_AT_ONCE):
-            ids = [got.ids for got in tokenizer.encode_batch_fast(asked[at : at + ASKED_AT_ONCE], add_special_tokens=False)]
+            some = words[at : at + ASKED_AT_ONCE]
+            ids = [got.ids for got in self.tokenizer.encode_batch_fast(list(map(bytes.decode, some)), add_special_tokens=False)]
             ends = list(accumulate(map(len, ids), initial=0))
             flat = np.fromiter(chain.from_iterable(ids), "<u4", ends[-1]).tobytes()
-            self.known.update((word, flat[4 * s : 4 * e]) for word, s, e in zip(words[at : at + ASKED_AT_ONCE], ends, ends[1:], strict=False))
+            self.known.update((word, flat[4 * s : 4 * e]) for word, s, e in zip(some, ends, ends[1:], strict=False))
 
     def learn(self, new: set[bytes]) -> None:
         """Know words that are new. ASCII marks that end a plain word are a piece by themselves, so word and marks are asked for."""
-        ended = {w: m.groups() for w in new if (m := _ENDED(w))}
-        asked = {x for pair in ended.values() for x in pair}.union(w for w in new if w not in ended)
-        self._ask(list(asked.difference(self.known)))
-        self.known.update((w, self.known[base] + self.known[marks]) for w, (base, marks) in ended.items())
+        known, plain, other, ended = self.known, set(), set(), []
+        for word in new:
+            if word.isalpha() or _PLAIN(word):
+                plain.add(word)
+                continue
+            base = word.rstrip(_MARKS)
+            if base.isalpha() or _ENDED(word):
+                ended.append((word, base, word[len(base) :]))
+            else:
+                other.add(word)
+        plain.update(base for _, base, _ in ended if base not in known)
+        other.update(marks for _, _, marks in ended if marks not in known)
+        asked = list(plain)
+        for at in range(0, len(asked), ASKED_AT_ONCE):
+            self._keep_joined(asked[at : at + ASKED_AT_ONCE])
+        self._keep(list(other))
+        known.update((word, known[base] + known[marks]) for word, base, marks in ended)
 
     def encode_all(self, some: list[bytes | None]) -> list[bytes]:
         if len(self.known) > REMEMBERED:  # what came first is what is common: keep the older half
             self.known = dict(islice(self.known.items(), REMEMBERED // 2))
-        split = [t.lower().split() if t and b"<|" not in t else [] for t in some]
-        found = [list(map(self.known.get, words)) for words in split]
-        joined: list[bytes] = []
-        lacking: list[int] = []
-        for at, codes in enumerate(found):
-            try:
-                joined.append(b"".join(codes))
-            except TypeError:  # a word is new; looking for it before would compare every code
-                joined.append(b"")
-                lacking.append(at)
-        self.learn({word for at in lacking for word, code in zip(split[at], found[at], strict=True) if code is None})
-        known = self.known.__getitem__
-        for at in lacking:
-            joined[at] = b"".join(map(known, split[at]))
-        return [self._whole(text) if text and b"<|" in text else code for text, code in zip(some, joined, strict=True)]
-
-    def _whole(self, text: bytes | None) -> bytes:
-        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes() if text else b""
+        self.known[_BETWEEN] = _BETWEEN_CODE
+        whole = {k: self._whole(t) for k, t in enumerate(some) if t and (b"<|" in t or _BETWEEN in t)}
+        words = b" \0 ".join([b"" if not t or k in whole else t for k, t in enumerate(some)]).lower().split()
+        codes = list(map(self.known.get, words))
+        if lacking := [at for at, code in enumerate(codes) if code is None]:
+            self.learn({words[at] for at in lacking})
+            for at in lacking:
+                codes[at] = self.known[words[at]]
+        found = b"".join(codes).split(_BETWEEN_CODE)
+        for k, code in whole.items():
+            found[k] = code
+        return found if some else []
+
+    def _whole(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: bytes | None) -> bytes:
         return self.encode_all([text])[0]
@@ -222,8 +233,8 @@ def coded(some: Iterable[bytes | None], encode_all: Callable[[list[bytes | None]
     yield from encode_all(held)
 
 
-_SEGMENTS = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("null_ids", pa.binary()), ("offsets", pa.binary()), ("codes", pa.binary())])
-SEGMENTS = "part int, segment int, n_docs long, n_tokens long, doc_ids binary, null_ids binary, offsets binary, codes binary"
+_SEGMENTS = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("before", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("null_ids", pa.binary()), ("offsets", pa.binary()), ("codes", pa.binary())])
+SEGMENTS = "part int, segment int, before long, n_docs long, n_tokens long, doc_ids binary, null_ids binary, offsets binary, codes binary"
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, segment_tokens: int = SEGMENT_TOKENS) -> None:
@@ -240,13 +251,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, segm
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, segment, held, ids, size = TaskContext.get().partitionId(), 0, [], [], 0
+        part, segment, before, held, ids, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
         encode_all = tokens(tokenizer).encode_all
 
         def flush() -> pa.RecordBatch:
             lengths = np.array([len(x) // 4 for x in held], np.int64)
             offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
-            values = {"part": part, "segment": segment, "n_docs": len(held), "n_tokens": int(offsets[-1])}
+            values = {"part": part, "segment": segment, "before": before, "n_docs": len(held), "n_tokens": int(offsets[-1])}
             values |= {"doc_ids": np.array([x or 0 for x in ids], "<i8").tobytes(), "null_ids": np.packbits([x is None for x in ids]).tobytes(), "offsets": offsets.astype("<i8").tobytes(), "codes": encode_codes(np.frombuffer(b"".join(held), "<u4"))}
             return pa.RecordBatch.from_arrays([pa.array([values[f.name]], f.type) for f in _SEGMENTS], schema=_SEGMENTS)
 
@@ -258,7 +269,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, segm
                 size += len(code) // 4
                 if size >= segment_tokens:
                     yield flush()
-                    segment, held, ids, size = segment + 1, [], [], 0
+                    segment, before, held, ids, size = segment + 1, before + size, [], [], 0
         if held:
             yield flush()
 
@@ -268,31 +279,32 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, segm
 def segments(spark: SparkSession, path: str) -> DataFrame:
     """The segments with first: the number of ids of all segments before each.
 
-    Sums by part are put in order in one task, a row for each part; inside a part the
-    segments are summed on their own.
+    A segment holds the count within its part, so only the sums by part are put in order,
+    in one task, and sent to all: a row for each task that wrote, whatever the segments hold.
     """
     table = spark.read.schema(SEGMENTS).parquet(path)
-    sizes = table.select("part", "segment", "n_tokens")
-    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("segment")) - F.col("n_tokens")
-    starts = sizes.withColumn("within", within).join(parts, "part").select("part", "segment", (F.col("before") + F.col("within")).alias("first"))
-    return table.join(starts, ["part", "segment"])
+    parts = table.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("earlier"))
+    return table.join(F.broadcast(parts), "part").withColumn("first", F.col("earlier") + F.col("before")).drop("earlier")
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each document, read from the segments under path."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+    """doc_id, start, n_tokens, ids_crc32 and first_id of each document, read from the segments under path.
+
+    first_id comes by random access to its place; the others from a scan of the segment.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("first_id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
-                doc_ids, null_ids, offsets, codes, first = (b.column(k)[row].as_py() for k in range(5))
-                ends = np.frombuffer(offsets, "<i8")
+                doc_ids, null_ids, offsets, blob, first = (b.column(k)[row].as_py() for k in range(5))
+                ends, codes = np.frombuffer(offsets, "<i8"), Codes(blob)
                 ids, size = np.frombuffer(doc_ids, "<i8"), len(ends) - 1
                 gone = np.unpackbits(np.frombuffer(null_ids, np.uint8), count=size).astype(bool)
-                flat = memoryview(Codes(codes).all().astype("<u4").tobytes())
+                flat = memoryview(codes.all().astype("<u4").tobytes())
                 crcs = [zlib.crc32(flat[4 * s : 4 * e]) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=gone, type=pa.int64()), pa.array(ends[:-1] + first), pa.array(np.diff(ends)), pa.array(crcs, pa.int64())], schema=schema)
+                firsts = [codes[at] for at in ends[:-1].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=gone, type=pa.int64()), pa.array(ends[:-1] + first), pa.array(np.diff(ends)), pa.array(crcs, pa.int64()), pa.array(firsts, pa.int64())], schema=schema)
 
-    return segments(spark, path).select("doc_ids", "null_ids", "offsets", "codes", "first").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return segments(spark, path).select("doc_ids", "null_ids", "offsets", "codes", "first").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, first_id long")
