@@ -4,15 +4,22 @@ Every string of ``length`` bytes has a trigger: the ``TRIGGER``-byte window in i
 rolling hash is least (the leftmost of equals). A phrase is a run of starts whose strings
 have the same trigger, so phrases depend on content alone, and two equal strings have
 equal triggers at equal places. The dictionary is the set of distinct phrases with the
-bytes that their strings reach; it has one entry for all copies of a passage.
+bytes that their strings reach, addressed by 128-bit cryptographic digests of those bytes;
+it has one entry for all copies of a passage.
 
 A phrase that occurs twice is repeated as a whole, and one whose trigger occurs nowhere
 else isn't repeated at all. The rest, phrases that share a trigger with other phrases, are
-put in corpus order: the bytes before the trigger are sorted backwards (the dictionary's
-order), those from it on forwards (the parse's order, as deep as a string reaches), each
-with its longest common prefixes. A string with d bytes before its trigger equals another
-just if both fall into one run of the first order at depth d and into one run of the second
-at depth length - d, so the two orders decide every start without comparing texts.
+sorted into corpus order twice: by the bytes before the trigger, backwards (the
+dictionary's order), and by those from it on (the parse's order, as deep as a string
+reaches). Both are range sorts over all tasks with the bytes themselves as keys, so the
+phrases of one hot trigger spread like any others. Neighbours' longest common prefixes in
+the two orders give, for a string with d bytes before its trigger:
+
+* it is repeated if some neighbour shares d bytes before and length - d from the trigger on;
+* it is not if no neighbour of the first order shares d, or none of the second length - d.
+
+The few strings that neither settles are told apart by digests of their bytes, among all
+strings of their triggers that the second rule lets pass.
 
 Only triggers' hashes and places are shuffled for whole texts, about one in 69 bytes.
 """
@@ -29,18 +36,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored, texts
+from .shared import discard, lean, stored, texts
 
 LENGTH = 200
 TRIGGER = 64
 #: Starts parsed at once; a longer text is parsed in such parts, which at worst cuts a phrase in two.
-PARSED_AT_ONCE = 1 << 20
-#: Phrases of one trigger that are put in order in one task; beyond it, their strings are counted by hash.
-CROWD = 50_000
-ORDERED_AT_ONCE = 20_000
+PARSED_AT_ONCE = 1 << 18
+#: Phrases that make a batch.
+SENT_AT_ONCE = 20_000
 _PLACE = (1 << 21) - 1
 _U = np.uint64
-_BASE, _MIX, _LEFT, _WIDE = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
+_BASE, _MIX = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 
 
 @lru_cache(maxsize=1)
@@ -59,22 +65,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(29))
 
 
-def _prefixes(data: np.ndarray) -> np.ndarray:
-    codes, up, _ = _powers()
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(codes[data] * up[: len(data)], out=out[1:])
-    return out
-
-
 def parse(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(trigger, first, last, a, e) of each phrase: places in text, starts [first, last], and hashes of trigger and phrase."""
+    """(trigger, first, last, a) of each phrase: places in text, starts [first, last], and the trigger's hash."""
     runs = [_parse(np.frombuffer(text, np.uint8, min(len(text) - at, PARSED_AT_ONCE + length - 1), at), at, length) for at in range(0, len(text) - length + 1, PARSED_AT_ONCE)]
-    return tuple(np.concatenate(x) for x in zip(*runs, strict=True)) if runs else tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    return tuple(np.concatenate(x) for x in zip(*runs, strict=True)) if runs else tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.uint64))
 
 
 def _parse(data: np.ndarray, at: int, length: int) -> tuple[np.ndarray, ...]:
-    down = _powers()[2]
-    sums = _prefixes(data)
+    codes, up, down = _powers()
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(codes[data] * up[: len(data)], out=sums[1:])
     hashes = _mixed((sums[TRIGGER:] - sums[:-TRIGGER]) * down[: len(sums) - TRIGGER])
     least = hashes & ~_U(_PLACE) | np.arange(len(hashes), dtype=np.uint64)
     wide, span = length - TRIGGER + 1, 1
@@ -87,179 +87,183 @@ def _parse(data: np.ndarray, at: int, length: int) -> tuple[np.ndarray, ...]:
     first = np.concatenate([np.zeros(1, np.int64), np.flatnonzero(place[1:] != place[:-1]) + 1])
     last = np.concatenate([first[1:] - 1, np.array([len(place) - 1])])
     x = place[first]
-    phrase = (sums[last + length] - sums[first]) * down[first]
-    e = _mixed(phrase + (x - first).astype(np.uint64) * _LEFT + (last - first).astype(np.uint64) * _WIDE)
-    return x + at, first + at, last + at, hashes[x], e
+    return x + at, first + at, last + at, hashes[x]
+
+
+def digest(some: bytes) -> bytes:
+    return hashlib.blake2b(some, digest_size=16).digest()
 
 
 def marked(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with __h, a hash of the text: doc_id and __h tell rows apart as far as their texts differ."""
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("__h", F.xxhash64("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("__h", F.xxhash64("text"))
+
+
+_PHRASES = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("a", pa.int64()), ("e1", pa.int64()), ("e2", pa.int64()), ("x", pa.int64()), ("before", pa.int32()), ("after", pa.int32())])
 
 
 def phrases(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(a, e, doc_id, h, x, before, after): a row for each phrase of marked docs; its starts are [x - before, x - before + after]."""
-    schema = pa.schema([("a", pa.int64()), ("e", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("x", pa.int64()), ("before", pa.int32()), ("after", pa.int32())])
+    """A row for each phrase of marked docs: (doc_id, h, a, e1, e2, x, before, after).
+
+    a is the hash of its trigger, e1 and e2 the digest of its bytes; its starts are [x - before, x - before + after].
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(parts: list[tuple[np.ndarray, ...]], ids: list, marks: list) -> pa.RecordBatch:
-            x, first, last, a, e = (np.concatenate(c) for c in zip(*parts, strict=True))
+        def out(parts: list[tuple[np.ndarray, ...]], ids: list, marks: list, digests: list[bytes]) -> pa.RecordBatch:
+            x, first, last, a = (np.concatenate(c) for c in zip(*parts, strict=True))
             sizes = [len(p[0]) for p in parts]
+            e = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             known = np.repeat([i is None for i in ids], sizes)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(a.view(np.int64)), pa.array(e.view(np.int64)), pa.array(np.repeat([i or 0 for i in ids], sizes), pa.int64(), mask=known), pa.array(np.repeat(marks, sizes), pa.int64()), pa.array(x), pa.array((x - first).astype(np.int32)), pa.array((last - first).astype(np.int32))],
-                schema=schema,
-            )
+            columns = [pa.array(np.repeat([i or 0 for i in ids], sizes), pa.int64(), mask=known), pa.array(np.repeat(marks, sizes), pa.int64()), pa.array(a.view(np.int64)), pa.array(e[:, 0]), pa.array(e[:, 1])]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(x), pa.array((x - first).astype(np.int32)), pa.array((last - first).astype(np.int32))], schema=_PHRASES)
 
+        parts, ids, marks, digests = [], [], [], []
         for b in batches:
-            parts, ids, marks, size = [], [], [], 0
             for doc_id, mark, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), texts(b.column(1)), strict=True):
                 if text is None or len(text) < length:
                     continue
                 parts.append(parse(text, length))
                 ids.append(doc_id)
                 marks.append(mark)
-                size += len(parts[-1][0])
-                if size > 100_000:
-                    yield out(parts, ids, marks)
-                    parts, ids, marks, size = [], [], [], 0
-            if parts:
-                yield out(parts, ids, marks)
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "__h").filter(F.octet_length("text") >= length)
-    return rows.mapInArrow(run, "a long, e long, doc_id long, h long, x long, before int, after int")
+                digests += [digest(text[s : e + length]) for s, e in zip(parts[-1][1].tolist(), parts[-1][2].tolist(), strict=True)]
+                if len(digests) >= SENT_AT_ONCE:
+                    yield out(parts, ids, marks, digests)
+                    parts, ids, marks, digests = [], [], [], []
+        if parts:
+            yield out(parts, ids, marks, digests)
 
+    rows = docs.select("doc_id", "text", "__h").filter(F.octet_length("text") >= length)
+    return rows.mapInArrow(run, "doc_id long, h long, a long, e1 long, e2 long, x long, before int, after int")
 
-def _order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's rank in lexicographic order, and the longest common prefix of each rank with the one before."""
-    order = np.argsort(np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), kind="stable")
-    there = rows[order]
-    differs = there[1:] != there[:-1]
-    common = np.where(differs.any(axis=1), differs.argmax(axis=1), rows.shape[1])
-    rank = np.empty(len(rows), np.int64)
-    rank[order] = np.arange(len(rows))
-    return rank, np.concatenate([np.zeros(1, np.int64), common])
 
+_ASKED = "a long, open boolean, doc_id long, h long, x long, before int, after int, back binary, ahead binary"
+_ASKED_SCHEMA = pa.schema([("a", pa.int64()), ("open", pa.bool_()), ("doc_id", pa.int64()), ("h", pa.int64()), ("x", pa.int64()), ("before", pa.int32()), ("after", pa.int32()), ("back", pa.binary()), ("ahead", pa.binary())])
 
-def _matrices(left: list[bytes], right: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes before the triggers, last byte first, and from the triggers on, padded."""
-    wide = length - TRIGGER
-    before = np.frombuffer(b"".join(x[::-1].ljust(wide, b"\0") for x in left), np.uint8).reshape(len(left), wide)
-    return before, np.frombuffer(b"".join(x.ljust(length, b"\0") for x in right), np.uint8).reshape(len(right), length)
 
+def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The bytes of asked phrases: before the trigger, the last first, and from the trigger on."""
+    for b in batches:
+        for doc_id, h, text, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2)), b.column(3), strict=True):
+            flat = pa.RecordBatch.from_struct_array(asked.values)
+            for at in range(0, flat.num_rows, SENT_AT_ONCE):
+                part = flat.slice(at, SENT_AT_ONCE)
+                x, before, after = (part.column(k).to_pylist() for k in ("x", "before", "after"))
+                columns = [part.column("a"), part.column("open"), pa.array([doc_id] * len(x), pa.int64()), pa.array([h] * len(x), pa.int64()), part.column("x"), part.column("before"), part.column("after")]
+                columns += [pa.array([text[p - q : p][::-1] for p, q in zip(x, before, strict=True)], pa.binary()), pa.array([text[p : p - q + r + length] for p, q, r in zip(x, before, after, strict=True)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema=_ASKED_SCHEMA)
 
-def repeated_in(left: list[bytes], right: list[bytes], least: np.ndarray, most: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """For each phrase and each d (bytes before the trigger), whether its string occurs in another phrase or place given.
-
-    left and right are the bytes before and from the trigger on; phrase k has strings for d in [least[k], most[k]].
-    """
-    before, after = _matrices(left, right, length)
-    (rank_b, common_b), (rank_a, common_a) = _order(before), _order(after)
-    found = np.zeros((len(left), length - TRIGGER + 1), bool)
-    for d in range(int(least.min()), int(most.max()) + 1):
-        has = np.flatnonzero((least <= d) & (d <= most))
-        if len(has) < 2:
-            continue
-        run_b, run_a = np.cumsum(common_b < d), np.cumsum(common_a < length - d)
-        _, inverse, counts = np.unique(run_a[rank_a[has]] * (len(left) + 1) + run_b[rank_b[has]], return_inverse=True, return_counts=True)
-        found[has, d] = counts[inverse] > 1
-    return found
 
+def _matrix(some: list[bytes], wide: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(x.ljust(wide, b"\0") for x in some), np.uint8).reshape(len(some), wide), np.array([len(x) for x in some], np.int64)
 
-def _runs(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first, last) of the runs of True in each row."""
-    edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-    row, first = np.nonzero(edge == 1)
-    return row, first, np.nonzero(edge == -1)[1] - 1
 
+def shared_with_next(some: list[bytes], wide: int) -> np.ndarray:
+    """The longest common prefix of each of some with the next one."""
+    rows, sizes = _matrix(some, wide)
+    differs = rows[1:] != rows[:-1]
+    common = np.where(differs.any(axis=1), differs.argmax(axis=1), wide)
+    return np.minimum(common, np.minimum(sizes[1:], sizes[:-1]))
 
-_FOUND = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
-_WINDOWS = pa.schema([("a", pa.int64()), ("w", pa.int64()), ("open", pa.bool_()), ("doc_id", pa.int64()), ("h", pa.int64()), ("first", pa.int64())])
 
+def _neighbours(batches: Iterator[pa.RecordBatch], kind: str, length: int) -> Iterator[pa.RecordBatch]:
+    """Rows in an order (by ``back`` or by ``ahead``), each with what its two neighbours settle.
 
-def _ordered(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Repeated starts of open phrases; rows come sorted by a, and a's phrases are taken together."""
-    held: pa.Table | None = None
+    Two neighbours of one trigger share some bytes before it and some from it on; strings
+    with length - ahead <= d <= back are then repeated: low1 to high1 by the row before,
+    low2 to high2 by the row after. most is the larger part shared in the order's own
+    direction. A task's first and last row have a neighbour that it doesn't see: that one
+    may share all, and settles nothing.
+    """
+    wide = {"back": length - TRIGGER, "ahead": length}
+    unseen = (wide["back"], wide["ahead"], length + 1, -1)
+    held, prior = None, unseen
 
-    def settle(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        opened = t.column("open").to_numpy(zero_copy_only=False)
-        if len(opened) < 2:
-            return
-        x, most, after = (t.column(k).to_numpy().astype(np.int64) for k in ("x", "before", "after"))
-        found = repeated_in(t.column("left").to_pylist(), t.column("right").to_pylist(), most - after, most, length)
-        row, first, last = _runs(found & opened[:, None])
-        if len(row):
-            ids, marks = t.column("doc_id").combine_chunks(), t.column("h").combine_chunks()
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), marks.take(pa.array(row)), pa.array(x[row] - last), pa.array(x[row] - first)], schema=_FOUND)
+    def told(rows: pa.Table, before: list[np.ndarray], after: list[np.ndarray]) -> pa.RecordBatch:
+        own = 0 if kind == "back" else 1
+        columns = {"most": np.maximum(before[own], after[own]), "low1": before[2], "high1": before[3], "low2": after[2], "high2": after[3]}
+        for name, values in columns.items():
+            rows = rows.append_column(f"{name}_{kind}", pa.array(values.astype(np.int32)))
+        return rows.combine_chunks().to_batches()[0]
 
     for b in batches:
-        table = pa.Table.from_batches([b])
-        held = table if held is None else pa.concat_tables([held, table])
-        if len(held) >= ORDERED_AT_ONCE:
+        for at in range(0, b.num_rows, SENT_AT_ONCE):
+            part = pa.Table.from_batches([b.slice(at, SENT_AT_ONCE)])
+            held = part if held is None else pa.concat_tables([held, part])
+            n = len(held) - 1
+            if not n:
+                continue
             a = held.column("a").to_numpy()
-            cut = int(np.searchsorted(a, a[-1]))
-            if cut:
-                yield from settle(held.slice(0, cut).combine_chunks())
-                held = held.slice(cut)
+            back, ahead = (np.where(a[1:] == a[:-1], shared_with_next(held.column(k).to_pylist(), wide[k]), 0) for k in ("back", "ahead"))
+            after = [back, ahead, length - ahead, back]
+            yield told(held.slice(0, n), [np.concatenate([[p], x[:-1]]) for p, x in zip(prior, after, strict=True)], after)
+            held, prior = held.slice(n), tuple(int(x[-1]) for x in after)
     if held is not None:
-        yield from settle(held.combine_chunks())
+        yield told(held, [np.array([x]) for x in prior], [np.array([x]) for x in unseen])
+
+
+def _in_order(asked: DataFrame, kind: str, length: int) -> DataFrame:
+    """asked, range-sorted over all tasks by trigger and bytes, with what neighbours settle; stored."""
+    by = ["a", "back", "ahead"] if kind == "back" else ["a", "ahead", "back"]
+    added = ", ".join(f"{n}_{kind} int" for n in ("most", "low1", "high1", "low2", "high2"))
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked.schema)
+    ordered = asked.repartitionByRange(*by).sortWithinPartitions(*by)
+    return stored(ordered.mapInArrow(lambda batches: _neighbours(batches, kind, length), f"{names}, {added}"), f"by-{kind}")
+
+
+def settled(asked: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(doc_id, h, first, last): runs of repeated starts of the open phrases of asked, a stored table that is discarded."""
+    by_back = _in_order(asked, "back", length)
+    discard(asked)
+    both = _in_order(by_back, "ahead", length)
+    discard(by_back)
+    least, most = F.col("before") - F.col("after"), F.col("before")
+    ranges = [(F.greatest(least, F.col(f"low{k}_{kind}")), F.least(most, F.col(f"high{k}_{kind}"))) for kind in ("back", "ahead") for k in (1, 2)]
+    hits = F.filter(F.array(*[F.struct((F.col("x") - high).alias("first"), (F.col("x") - low).alias("last")) for low, high in ranges]), lambda r: r["first"] <= r["last"])
+    known = both.filter("open").select("doc_id", "h", F.explode(hits).alias("r")).select("doc_id", "h", "r.*")
+
+    # strings that may be repeated as far as the orders say
+    low, high = F.greatest(least, F.lit(length) - F.col("most_ahead")), F.least(most, F.col("most_back"))
+    none = F.array().cast("array<int>")
+    maybe = F.when(low <= high, F.sequence(low, high)).otherwise(none)
+    left = F.filter(maybe, lambda d: ~_any([(d >= lo) & (d <= hi) for lo, hi in ranges]))
+    unsettled = stored(both.filter(F.col("open") & (F.size(left) > 0)).select("a").distinct(), "unsettled")
+    windows = both.join(unsettled, "a", "left_semi").select("a", "open", "doc_id", "h", "x", "back", "ahead", F.explode(maybe).alias("d"))
+    string = F.concat(F.substring("back", F.lit(1), F.col("d")), F.substring("ahead", F.lit(1), F.lit(length) - F.col("d")))
+    windows = stored(windows.select("a", "d", F.unhex(F.sha2(string, 256)).alias("w"), "open", "doc_id", "h", (F.col("x") - F.col("d")).alias("first")), "windows")
+    again = windows.groupBy("a", "d", "w").agg(F.count("*").alias("n")).filter("n > 1").select("a", "d", "w")
+    rest = windows.filter("open").join(again, ["a", "d", "w"]).select("doc_id", "h", "first", F.col("first").alias("last"))
+    found = stored(known.union(rest), "settled")
+    discard(both, unsettled, windows)
+    return found
 
 
-def _hashed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """A row for each string of phrases: trigger, hash of the string and its d, and its start."""
-    codes, up, down = _powers()
-    for b in batches:
-        for at in range(0, b.num_rows, 1000):
-            t = b.slice(at, 1000)
-            left, right = t.column(t.schema.get_field_index("left")).to_pylist(), t.column(t.schema.get_field_index("right")).to_pylist()
-            before, after = _matrices(left, right, length)
-            data = np.concatenate([before[:, ::-1], after], axis=1)
-            sums = np.zeros((len(left), data.shape[1] + 1), np.uint64)
-            np.cumsum(codes[data] * up[: data.shape[1]], axis=1, out=sums[:, 1:])
-            x, most, wide = (t.column(t.schema.get_field_index(k)).to_numpy().astype(np.int64) for k in ("x", "before", "after"))
-            row = np.repeat(np.arange(len(left)), wide + 1)
-            d = most[row] - (np.arange(len(row)) - np.repeat(np.cumsum(wide + 1) - wide - 1, wide + 1))
-            start = before.shape[1] - d
-            w = _mixed((sums[row, start + length] - sums[row, start]) * down[start] + d.astype(np.uint64) * _LEFT)
-            take = pa.array(row)
-            columns = {k: t.column(t.schema.get_field_index(k)).take(take) for k in ("a", "open", "doc_id", "h")} | {"w": pa.array(w.view(np.int64)), "first": pa.array(x[row] - d)}
-            yield pa.RecordBatch.from_arrays([columns[f.name] for f in _WINDOWS], schema=_WINDOWS)
-
-
-def starts(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
-    """(doc_id, h, spans): for texts of marked docs that have any, arrays of [first, last] starts of repeated strings."""
-    found = phrases(docs, length)
-    # stored: the join then reads two plain exchanges, and Spark splits the phrases of a hot trigger over tasks
-    often = stored(found.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"), "triggers")
-    met = stored(found.join(often, "a"), "phrases")
-    entries = met.groupBy("a", "e").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "x", "before", "after")).alias("at"))
-    entries = stored(entries, "entries")
-    twice = met.join(entries.filter("n > 1").select("a", "e"), ["a", "e"])
-    whole = twice.select("doc_id", "h", (F.col("x") - F.col("before")).alias("first"), (F.col("x") - F.col("before") + F.col("after")).alias("last"))
+def _any(some: list) -> F.Column:
+    out = F.lit(False)
+    for x in some:
+        out = out | x
+    return out
+
+
+def starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(doc_id, h, spans): for texts of marked docs that have any, arrays of [first, last] starts of repeated strings; stored."""
+    found = stored(phrases(docs, length), "phrases")
+    # any one occurrence stands for an entry: first() of one row in all columns, fixed as the table is stored
+    at = [F.first(k).alias(k) for k in ("doc_id", "h", "x", "before", "after")]
+    entries = stored(found.groupBy("a", "e1", "e2").agg(F.count("*").alias("n"), *at), "entries")
     # triggers under which a phrase that occurs once meets another
-    open_ = entries.groupBy("a").agg(F.min("n").alias("least"), F.count("*").alias("crowd")).filter("least = 1 AND crowd > 1").select("a", "crowd")
-    asked = entries.join(open_, "a").select("a", "crowd", (F.col("n") == 1).alias("open"), "at.*")
-    lists = asked.groupBy("doc_id", "h").agg(F.collect_list(F.struct("a", "crowd", "open", "x", "before", "after")).alias("asked"))
-    met_texts = docs.alias("d").join(lists.alias("l"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("l.doc_id")) & (F.col("d.__h") == F.col("l.h"))).select("l.doc_id", "l.h", "d.text", "l.asked")
-    kind = "a long, crowd long, open boolean, doc_id long, h long, x long, before int, after int, left binary, right binary"
-    schema = pa.schema([("a", pa.int64()), ("crowd", pa.int64()), ("open", pa.bool_()), ("doc_id", pa.int64()), ("h", pa.int64()), ("x", pa.int64()), ("before", pa.int32()), ("after", pa.int32()), ("left", pa.binary()), ("right", pa.binary())])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for doc_id, h, text, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2)), b.column(3), strict=True):
-                flat = pa.RecordBatch.from_struct_array(asked.values)
-                x, before, after = (flat.column(k).to_pylist() for k in ("x", "before", "after"))
-                columns = [flat.column("a"), flat.column("crowd"), flat.column("open"), pa.array([doc_id] * len(x), pa.int64()), pa.array([h] * len(x), pa.int64()), flat.column("x"), flat.column("before"), flat.column("after")]
-                columns += [pa.array([text[p - q : p] for p, q in zip(x, before, strict=True)], pa.binary()), pa.array([text[p : p - q + r + length] for p, q, r in zip(x, before, after, strict=True)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
-
-    parts = stored(met_texts.mapInArrow(cut, kind), "asked")
-    usual = parts.filter(F.col("crowd") <= crowd).repartition("a").sortWithinPartitions("a")
-    ordered = usual.mapInArrow(lambda batches: _ordered(batches, length), "doc_id long, h long, first long, last long")
-    windows = stored(parts.filter(F.col("crowd") > crowd).mapInArrow(lambda batches: _hashed(batches, length), "a long, w long, open boolean, doc_id long, h long, first long"), "windows")
-    again = windows.groupBy("a", "w").agg(F.count("*").alias("n")).filter("n > 1").select("a", "w")
-    hashed = windows.filter("open").join(again, ["a", "w"]).select("doc_id", "h", "first", F.col("first").alias("last"))
-    return whole.union(ordered).union(hashed).groupBy("doc_id", "h").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    open_ = entries.groupBy("a").agg(F.min("n").alias("least"), F.count("*").alias("crowd")).filter("least = 1 AND crowd > 1").select("a")
+    asked = entries.join(open_, "a").select("a", (F.col("n") == 1).alias("open"), "doc_id", "h", "x", "before", "after")
+    lists = asked.groupBy("doc_id", "h").agg(F.collect_list(F.struct("a", "open", "x", "before", "after")).alias("asked"))
+    asked_texts = docs.alias("d").join(lists.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d.__h") == F.col("l.h"))).select("l.doc_id", "l.h", "d.text", "l.asked")
+    # a text that stands twice under one doc_id gives its rows twice; none of them is open, as its phrases occur twice
+    rows = asked_texts.mapInArrow(lambda batches: _cut(batches, length), _ASKED)
+    once = settled(stored(rows, "asked"), length)
+    twice = entries.filter("n > 1").select("a", "e1", "e2")
+    first = F.col("x") - F.col("before")
+    whole = found.join(twice, ["a", "e1", "e2"]).select("doc_id", "h", first.alias("first"), (first + F.col("after")).alias("last"))
+    spans = stored(whole.union(once).groupBy("doc_id", "h").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")
+    discard(found, entries, once)
+    return spans
 
 
 def covered(spans: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[int, int]]:
@@ -273,7 +277,7 @@ def covered(spans: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[in
     return [(s, e) for s, e in out]
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
+def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_bytes, removed (array of [s, e) runs of bytes) and kept (the other bytes).
 
     A byte is removed if a string of length bytes that covers it also starts elsewhere in
@@ -284,9 +288,10 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> D
     """
     if length < 2 * TRIGGER:
         raise ValueError(f"strings of under {2 * TRIGGER} bytes have no room for triggers")
+    lean(docs.sparkSession)
     rows = marked(docs)
-    found = starts(rows, length, crowd)
-    joined = rows.alias("d").join(found.alias("s"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("s.doc_id")) & (F.col("d.__h") == F.col("s.h")), "left").select(F.col("d.doc_id").cast("long").alias("doc_id"), "d.text", "s.spans")
+    found = starts(rows, length)
+    joined = rows.alias("d").join(found.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.__h") == F.col("s.h")), "left").select("d.doc_id", "d.text", "s.spans")
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("removed", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,5 @@
 import random
 
-import numpy as np
-import pytest
-
 from paperloom.llm import suffix
 
 
@@ -15,14 +12,13 @@ def texts():
     return [*base, base[3], base[7][:400] + "X" + base[7][401:], base[9] + p, p + base[10], f"pre {p[:230]} post", "a" * 500, "a" * 300, "ab" * 300, "", None, base[3][5:300], f"{p} {p}", "é" * 150, "é" * 99, p[:199], p[:200]]
 
 
-@pytest.mark.parametrize("crowd", [suffix.CROWD, 2])
-def test_against_all_strings(spark, crowd):
+def test_against_all_strings(spark):
     some = texts()
     rows = [(k if k % 7 else None, t) for k, t in enumerate(some)] + [(5, some[5]), (5, some[5]), (5, "other")]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, spans string")
     found = suffix.brute_force([(t or "").encode() for _, t in rows])
     want = sorted((str(i), len((t or "").encode()), str([list(s) for s in f])) for (i, t), f in zip(rows, found, strict=True))
-    got = suffix.deduplicated(docs, crowd=crowd).collect()
+    got = suffix.deduplicated(docs).collect()
     assert sorted((str(r.doc_id), r.n_bytes, str(r.removed)) for r in got) == want
     for r in got:
         assert len(r.kept) == r.n_bytes - sum(e - s for s, e in r.removed)
@@ -31,22 +27,27 @@ def test_against_all_strings(spark, crowd):
 def test_phrases_cover_every_start_with_their_trigger(monkeypatch):
     monkeypatch.setattr(suffix, "PARSED_AT_ONCE", 700)
     text = " ".join(random.Random(2).choice("abcdefg") * 3 for _ in range(2000)).encode()
-    x, first, last, _, _ = suffix.parse(text)
+    x, first, last, _ = suffix.parse(text)
     assert first[0] == 0 and last[-1] == len(text) - suffix.LENGTH and (first[1:] == last[:-1] + 1).all()
     assert (x >= last).all() and (x + suffix.TRIGGER <= first + suffix.LENGTH).all()
 
 
-def test_orders_decide_each_start():
-    rng = np.random.RandomState(0)
-    left = [bytes(rng.choice([97, 98], rng.randint(0, 9)).astype(np.uint8)) for _ in range(60)]
-    right = [bytes(rng.choice([97, 98], 12).astype(np.uint8)) for _ in range(60)]
-    length = suffix.TRIGGER + 8
-    right = [r + b"z" * (length - 12) for r in right]
-    most = np.array([len(x) for x in left])
-    found = suffix.repeated_in(left, right, np.zeros(60, int), most, length)
-    for d in range(9):
-        strings = [x[len(x) - d :] + y[: length - d] if len(x) >= d else None for x, y in zip(left, right, strict=True)]
-        assert [bool(f) for f in found[:, d]] == [s is not None and strings.count(s) > 1 for s in strings]
+def test_shared_prefixes():
+    some = [b"ab", b"abc", b"abc", b"abd", b"", b"b\0", b"b"]
+    assert suffix.shared_with_next(some, 4).tolist() == [2, 3, 2, 0, 0, 1]
+
+
+def test_a_crowded_trigger_in_many_contexts(spark):
+    """One passage of 120 bytes between contexts that occur in other pairings, in and over many tasks."""
+    r = random.Random(4)
+    word = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    passage, before, after = word(120), [word(150) for _ in range(12)], [word(150) for _ in range(12)]
+    texts = [f"{word(40)}{b[k:]}{passage}{a[: 150 - j]}{word(40)}" for b in before for a in after for k, j in [(r.randint(0, 149), r.randint(0, 149))]]
+    texts += [passage * 3, word(300) + passage, passage + word(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = suffix.brute_force([t.encode() for t in texts])
+    got = {x.doc_id: [tuple(s) for s in x.removed] for x in suffix.deduplicated(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == want and sum(map(len, want)) > 40
 
 
 def test_nothing(spark):
