@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
@@ -69,6 +70,11 @@ def discard_all(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
+def reused(df: DataFrame) -> DataFrame:
+    """df, kept on the executors' disks while several steps read it; what a lost executor held is computed again."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def lean(spark: SparkSession) -> None:
     """Bound the session's Arrow batches by bytes, so that neither JVM nor worker holds thousands of long texts at once."""
     if int(spark.conf.get(BATCH_SETTING).rstrip("bB")) > BATCH_BYTES:

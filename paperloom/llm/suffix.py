@@ -21,7 +21,7 @@ the two orders give, for a string with d bytes before its trigger:
 The few strings that neither settles are told apart by digests of their bytes, among all
 strings of their triggers that the second rule lets pass.
 
-Only triggers' hashes and places are shuffled for whole texts, about one in 69 bytes.
+Only triggers' hashes and places are shuffled for whole texts, about one in 85 bytes.
 """
 
 from __future__ import annotations
@@ -36,10 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, lean, stored, texts
+from .shared import discard, lean, reused, stored, texts
 
 LENGTH = 200
-TRIGGER = 64
+TRIGGER = 32
 #: Starts parsed at once; a longer text is parsed in such parts, which at worst cuts a phrase in two.
 PARSED_AT_ONCE = 1 << 18
 #: Phrases that make a batch.
@@ -99,13 +99,19 @@ def marked(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("__h", F.xxhash64("text"))
 
 
-_PHRASES = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("a", pa.int64()), ("e1", pa.int64()), ("e2", pa.int64()), ("x", pa.int64()), ("before", pa.int32()), ("after", pa.int32())])
+#: A phrase's place in its text: the trigger's, and the numbers of starts before it and of starts less one, packed.
+def _packed(x: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return x << 16 | x - first << 8 | last - first
+
+
+_X, _BEFORE, _AFTER = "shiftright(at, 16)", "cast(shiftright(at, 8) & 255 AS int)", "cast(at & 255 AS int)"
+_PHRASES = pa.schema([(k, pa.int64()) for k in ("doc_id", "h", "a", "e1", "e2", "at")])
 
 
 def phrases(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """A row for each phrase of marked docs: (doc_id, h, a, e1, e2, x, before, after).
+    """A row for each phrase of marked docs: (doc_id, h, a, e1, e2, at).
 
-    a is the hash of its trigger, e1 and e2 the digest of its bytes; its starts are [x - before, x - before + after].
+    a is the hash of its trigger, e1 and e2 the digest of its bytes, at its packed place.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,8 +120,8 @@ def phrases(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             sizes = [len(p[0]) for p in parts]
             e = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             known = np.repeat([i is None for i in ids], sizes)
-            columns = [pa.array(np.repeat([i or 0 for i in ids], sizes), pa.int64(), mask=known), pa.array(np.repeat(marks, sizes), pa.int64()), pa.array(a.view(np.int64)), pa.array(e[:, 0]), pa.array(e[:, 1])]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(x), pa.array((x - first).astype(np.int32)), pa.array((last - first).astype(np.int32))], schema=_PHRASES)
+            columns = [pa.array(np.repeat([i or 0 for i in ids], sizes), pa.int64(), mask=known), pa.array(np.repeat(marks, sizes), pa.int64())]
+            return pa.RecordBatch.from_arrays([*columns, *(pa.array(c) for c in (a.view(np.int64), e[:, 0], e[:, 1], _packed(x, first, last)))], schema=_PHRASES)
 
         parts, ids, marks, digests = [], [], [], []
         for b in batches:
@@ -133,7 +139,7 @@ def phrases(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield out(parts, ids, marks, digests)
 
     rows = docs.select("doc_id", "text", "__h").filter(F.octet_length("text") >= length)
-    return rows.mapInArrow(run, "doc_id long, h long, a long, e1 long, e2 long, x long, before int, after int")
+    return rows.mapInArrow(run, "doc_id long, h long, a long, e1 long, e2 long, at long")
 
 
 _ASKED = "a long, open boolean, doc_id long, h long, x long, before int, after int, back binary, ahead binary"
@@ -202,20 +208,18 @@ def _neighbours(batches: Iterator[pa.RecordBatch], kind: str, length: int) -> It
 
 
 def _in_order(asked: DataFrame, kind: str, length: int) -> DataFrame:
-    """asked, range-sorted over all tasks by trigger and bytes, with what neighbours settle; stored."""
+    """asked, range-sorted over all tasks by trigger and bytes, with what neighbours settle."""
     by = ["a", "back", "ahead"] if kind == "back" else ["a", "ahead", "back"]
     added = ", ".join(f"{n}_{kind} int" for n in ("most", "low1", "high1", "low2", "high2"))
     names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked.schema)
     ordered = asked.repartitionByRange(*by).sortWithinPartitions(*by)
-    return stored(ordered.mapInArrow(lambda batches: _neighbours(batches, kind, length), f"{names}, {added}"), f"by-{kind}")
+    return reused(ordered.mapInArrow(lambda batches: _neighbours(batches, kind, length), f"{names}, {added}"))
 
 
-def settled(asked: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, h, first, last): runs of repeated starts of the open phrases of asked, a stored table that is discarded."""
+def settled(asked: DataFrame, length: int = LENGTH) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc_id, h, first, last): runs of repeated starts of the open phrases of asked; and the tables it reads."""
     by_back = _in_order(asked, "back", length)
-    discard(asked)
     both = _in_order(by_back, "ahead", length)
-    discard(by_back)
     least, most = F.col("before") - F.col("after"), F.col("before")
     ranges = [(F.greatest(least, F.col(f"low{k}_{kind}")), F.least(most, F.col(f"high{k}_{kind}"))) for kind in ("back", "ahead") for k in (1, 2)]
     hits = F.filter(F.array(*[F.struct((F.col("x") - high).alias("first"), (F.col("x") - low).alias("last")) for low, high in ranges]), lambda r: r["first"] <= r["last"])
@@ -226,15 +230,13 @@ def settled(asked: DataFrame, length: int = LENGTH) -> DataFrame:
     none = F.array().cast("array<int>")
     maybe = F.when(low <= high, F.sequence(low, high)).otherwise(none)
     left = F.filter(maybe, lambda d: ~_any([(d >= lo) & (d <= hi) for lo, hi in ranges]))
-    unsettled = stored(both.filter(F.col("open") & (F.size(left) > 0)).select("a").distinct(), "unsettled")
+    unsettled = both.filter(F.col("open") & (F.size(left) > 0)).select("a").distinct()
     windows = both.join(unsettled, "a", "left_semi").select("a", "open", "doc_id", "h", "x", "back", "ahead", F.explode(maybe).alias("d"))
     string = F.concat(F.substring("back", F.lit(1), F.col("d")), F.substring("ahead", F.lit(1), F.lit(length) - F.col("d")))
-    windows = stored(windows.select("a", "d", F.unhex(F.sha2(string, 256)).alias("w"), "open", "doc_id", "h", (F.col("x") - F.col("d")).alias("first")), "windows")
+    windows = reused(windows.select("a", "d", F.unhex(F.sha2(string, 256)).alias("w"), "open", "doc_id", "h", (F.col("x") - F.col("d")).alias("first")))
     again = windows.groupBy("a", "d", "w").agg(F.count("*").alias("n")).filter("n > 1").select("a", "d", "w")
     rest = windows.filter("open").join(again, ["a", "d", "w"]).select("doc_id", "h", "first", F.col("first").alias("last"))
-    found = stored(known.union(rest), "settled")
-    discard(both, unsettled, windows)
-    return found
+    return known.union(rest), [by_back, both, windows]
 
 
 def _any(some: list) -> F.Column:
@@ -246,23 +248,27 @@ def _any(some: list) -> F.Column:
 
 def starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, h, spans): for texts of marked docs that have any, arrays of [first, last] starts of repeated strings; stored."""
-    found = stored(phrases(docs, length), "phrases")
-    # any one occurrence stands for an entry: first() of one row in all columns, fixed as the table is stored
-    at = [F.first(k).alias(k) for k in ("doc_id", "h", "x", "before", "after")]
-    entries = stored(found.groupBy("a", "e1", "e2").agg(F.count("*").alias("n"), *at), "entries")
+    found = phrases(docs, length)
+    # stored: the join then reads two plain exchanges, and Spark splits the phrases of a hot trigger over tasks
+    often = stored(found.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"), "triggers")
+    met = reused(found.join(often, "a"))
+    # any one occurrence stands for an entry: first() takes one row in all columns, and an entry that occurs once has no other
+    entries = reused(met.groupBy("a", "e1", "e2").agg(F.count("*").alias("n"), *[F.first(k).alias(k) for k in ("doc_id", "h", "at")]))
     # triggers under which a phrase that occurs once meets another
     open_ = entries.groupBy("a").agg(F.min("n").alias("least"), F.count("*").alias("crowd")).filter("least = 1 AND crowd > 1").select("a")
-    asked = entries.join(open_, "a").select("a", (F.col("n") == 1).alias("open"), "doc_id", "h", "x", "before", "after")
+    asked = entries.join(open_, "a").selectExpr("a", "n = 1 AS open", "doc_id", "h", f"{_X} AS x", f"{_BEFORE} AS before", f"{_AFTER} AS after")
     lists = asked.groupBy("doc_id", "h").agg(F.collect_list(F.struct("a", "open", "x", "before", "after")).alias("asked"))
     asked_texts = docs.alias("d").join(lists.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d.__h") == F.col("l.h"))).select("l.doc_id", "l.h", "d.text", "l.asked")
     # a text that stands twice under one doc_id gives its rows twice; none of them is open, as its phrases occur twice
-    rows = asked_texts.mapInArrow(lambda batches: _cut(batches, length), _ASKED)
-    once = settled(stored(rows, "asked"), length)
+    rows = reused(asked_texts.mapInArrow(lambda batches: _cut(batches, length), _ASKED))
+    once, read = settled(rows, length)
     twice = entries.filter("n > 1").select("a", "e1", "e2")
-    first = F.col("x") - F.col("before")
-    whole = found.join(twice, ["a", "e1", "e2"]).select("doc_id", "h", first.alias("first"), (first + F.col("after")).alias("last"))
+    first = F.expr(f"{_X} - {_BEFORE}")
+    whole = met.join(twice, ["a", "e1", "e2"]).select("doc_id", "h", first.alias("first"), (first + F.expr(_AFTER)).alias("last"))
     spans = stored(whole.union(once).groupBy("doc_id", "h").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")
-    discard(found, entries, once)
+    for table in (met, entries, rows, *read):
+        table.unpersist()
+    discard(often)
     return spans
 
 
