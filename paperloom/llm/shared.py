@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -75,6 +76,12 @@ def reused(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove shuffle files that nothing reads any more; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def lean(spark: SparkSession) -> None:
     """Bound the session's Arrow batches by bytes, so that neither JVM nor worker holds thousands of long texts at once."""
     if int(spark.conf.get(BATCH_SETTING).rstrip("bB")) > BATCH_BYTES:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, lean, reused, stored, texts
+from .shared import discard, lean, reused, stored, sweep, texts
 
 LENGTH = 200
 TRIGGER = 32
@@ -208,18 +208,19 @@ def _neighbours(batches: Iterator[pa.RecordBatch], kind: str, length: int) -> It
 
 
 def _in_order(asked: DataFrame, kind: str, length: int) -> DataFrame:
-    """asked, range-sorted over all tasks by trigger and bytes, with what neighbours settle."""
+    """asked, range-sorted over all tasks by trigger and bytes, with what neighbours settle; stored, and asked is discarded."""
     by = ["a", "back", "ahead"] if kind == "back" else ["a", "ahead", "back"]
     added = ", ".join(f"{n}_{kind} int" for n in ("most", "low1", "high1", "low2", "high2"))
     names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked.schema)
     ordered = asked.repartitionByRange(*by).sortWithinPartitions(*by)
-    return reused(ordered.mapInArrow(lambda batches: _neighbours(batches, kind, length), f"{names}, {added}"))
+    found = stored(ordered.mapInArrow(lambda batches: _neighbours(batches, kind, length), f"{names}, {added}"), f"by-{kind}")
+    discard(asked)
+    return found
 
 
-def settled(asked: DataFrame, length: int = LENGTH) -> tuple[DataFrame, list[DataFrame]]:
-    """(doc_id, h, first, last): runs of repeated starts of the open phrases of asked; and the tables it reads."""
-    by_back = _in_order(asked, "back", length)
-    both = _in_order(by_back, "ahead", length)
+def settled(asked: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, first, last): runs of repeated starts of the open phrases of asked, a stored table that is discarded; and the stored one read."""
+    both = _in_order(_in_order(asked, "back", length), "ahead", length)
     least, most = F.col("before") - F.col("after"), F.col("before")
     ranges = [(F.greatest(least, F.col(f"low{k}_{kind}")), F.least(most, F.col(f"high{k}_{kind}"))) for kind in ("back", "ahead") for k in (1, 2)]
     hits = F.filter(F.array(*[F.struct((F.col("x") - high).alias("first"), (F.col("x") - low).alias("last")) for low, high in ranges]), lambda r: r["first"] <= r["last"])
@@ -233,10 +234,10 @@ def settled(asked: DataFrame, length: int = LENGTH) -> tuple[DataFrame, list[Dat
     unsettled = both.filter(F.col("open") & (F.size(left) > 0)).select("a").distinct()
     windows = both.join(unsettled, "a", "left_semi").select("a", "open", "doc_id", "h", "x", "back", "ahead", F.explode(maybe).alias("d"))
     string = F.concat(F.substring("back", F.lit(1), F.col("d")), F.substring("ahead", F.lit(1), F.lit(length) - F.col("d")))
-    windows = reused(windows.select("a", "d", F.unhex(F.sha2(string, 256)).alias("w"), "open", "doc_id", "h", (F.col("x") - F.col("d")).alias("first")))
+    windows = windows.select("a", "d", F.unhex(F.sha2(string, 256)).alias("w"), "open", "doc_id", "h", (F.col("x") - F.col("d")).alias("first"))
     again = windows.groupBy("a", "d", "w").agg(F.count("*").alias("n")).filter("n > 1").select("a", "d", "w")
     rest = windows.filter("open").join(again, ["a", "d", "w"]).select("doc_id", "h", "first", F.col("first").alias("last"))
-    return known.union(rest), [by_back, both, windows]
+    return known.union(rest), both
 
 
 def _any(some: list) -> F.Column:
@@ -248,27 +249,29 @@ def _any(some: list) -> F.Column:
 
 def starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, h, spans): for texts of marked docs that have any, arrays of [first, last] starts of repeated strings; stored."""
-    found = phrases(docs, length)
+    spark, found = docs.sparkSession, phrases(docs, length)
     # stored: the join then reads two plain exchanges, and Spark splits the phrases of a hot trigger over tasks
     often = stored(found.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"), "triggers")
     met = reused(found.join(often, "a"))
     # any one occurrence stands for an entry: first() takes one row in all columns, and an entry that occurs once has no other
     entries = reused(met.groupBy("a", "e1", "e2").agg(F.count("*").alias("n"), *[F.first(k).alias(k) for k in ("doc_id", "h", "at")]))
+    twice = stored(entries.filter("n > 1").select("a", "e1", "e2"), "twice")
     # triggers under which a phrase that occurs once meets another
     open_ = entries.groupBy("a").agg(F.min("n").alias("least"), F.count("*").alias("crowd")).filter("least = 1 AND crowd > 1").select("a")
     asked = entries.join(open_, "a").selectExpr("a", "n = 1 AS open", "doc_id", "h", f"{_X} AS x", f"{_BEFORE} AS before", f"{_AFTER} AS after")
-    lists = asked.groupBy("doc_id", "h").agg(F.collect_list(F.struct("a", "open", "x", "before", "after")).alias("asked"))
+    lists = stored(asked.groupBy("doc_id", "h").agg(F.collect_list(F.struct("a", "open", "x", "before", "after")).alias("asked")), "lists")
+    entries.unpersist()
+    sweep(spark)
     asked_texts = docs.alias("d").join(lists.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d.__h") == F.col("l.h"))).select("l.doc_id", "l.h", "d.text", "l.asked")
     # a text that stands twice under one doc_id gives its rows twice; none of them is open, as its phrases occur twice
-    rows = reused(asked_texts.mapInArrow(lambda batches: _cut(batches, length), _ASKED))
-    once, read = settled(rows, length)
-    twice = entries.filter("n > 1").select("a", "e1", "e2")
+    once, read = settled(stored(asked_texts.mapInArrow(lambda batches: _cut(batches, length), _ASKED), "asked"), length)
+    sweep(spark)
     first = F.expr(f"{_X} - {_BEFORE}")
     whole = met.join(twice, ["a", "e1", "e2"]).select("doc_id", "h", first.alias("first"), (first + F.expr(_AFTER)).alias("last"))
     spans = stored(whole.union(once).groupBy("doc_id", "h").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")
-    for table in (met, entries, rows, *read):
-        table.unpersist()
-    discard(often)
+    met.unpersist()
+    discard(often, twice, lists, read)
+    sweep(spark)
     return spans
 
 
