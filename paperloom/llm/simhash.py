@@ -8,10 +8,11 @@ start, keys are joined between distinct fingerprints only, and a key's members a
 compared by XOR and bit count; each key yields a spanning forest of its links rather
 than all pairs.
 
-A key with more than ``CROWD`` fingerprints is settled exactly in another way: two
-fingerprints are within two bits of each other just if both are within one bit of
-some common value, so all values within one bit of each member (65 of them) are
-joined instead, and the work stays linear.
+A key with more than ``CROWD`` fingerprints is cut once more by the same rule: its members
+agree on the key's bits, so close pairs among them agree on enough of the blocks that the
+other bits are cut into. Each such step leaves half of the bits open that the step before
+left, so a key's members are bounded whatever the table holds: at most 2 ** 8 distinct
+fingerprints after two steps.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import batch, stored, texts
+from .shared import batch, free, lean, reused, texts
 
 SHINGLE = 3
 SEED = 42
@@ -67,12 +68,16 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
-def _masks(bits: int, blocks: int) -> list[int]:
-    """Signed masks, one for each way to choose the blocks on which a close pair agrees."""
-    edges = [round(64 * k / blocks) for k in range(blocks + 1)]
-    parts = [(1 << hi) - (1 << lo) for lo, hi in zip(edges, edges[1:], strict=False)]
-    sums = [sum(chosen) for chosen in combinations(parts, blocks - bits)]
-    return [m - (1 << 64) if m >> 63 else m for m in sums]
+def masks_of(bits: int, blocks: int, within: int = 0) -> list[int]:
+    """Masks of the bits on which a close pair may agree that agrees on those of ``within``, one for each choice of blocks of the others."""
+    rest = [1 << k for k in range(64) if not within >> k & 1]
+    edges = [round(len(rest) * k / blocks) for k in range(blocks + 1)]
+    parts = [sum(rest[lo:hi]) for lo, hi in zip(edges, edges[1:], strict=False)]
+    return [within | sum(chosen) for chosen in combinations(parts, blocks - bits)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
 def _forest(fps: np.ndarray, reps: np.ndarray, bits: int) -> list[tuple[int, int]]:
@@ -93,7 +98,7 @@ def _forest(fps: np.ndarray, reps: np.ndarray, bits: int) -> list[tuple[int, int
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(fps, reps) of each run of rows with the same (mask, key); at most CROWD rows a run."""
+    """(fps, reps) of each run of rows with the same (mask, key)."""
     held: list[np.ndarray] = []
     for b in batches:
         rows = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1)
@@ -109,32 +114,40 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
         yield held[0][:, 2], held[0][:, 3]
 
 
-def links(nodes: DataFrame, bits: int = BITS, blocks: int = BLOCKS, crowd: int = CROWD) -> DataFrame:
-    """Edges (a, b) between the ``rep`` of nodes (fp, rep), distinct by fp, whose closure links all pairs within ``bits``."""
-    if bits != 2:
-        raise ValueError("crowded keys are settled for two bits only")
-    keyed = nodes.select("fp", "rep", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in _masks(bits, blocks)])).alias("mask", "key"))
-    sizes = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = stored(keyed.join(sizes, ["mask", "key"]), "blocks")
-
+def _compare(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, int]] = []
-        for fps, reps in _grouped(batches):
-            found += _forest(fps, reps, bits) if len(fps) > 1 else []
-            if len(found) > 50_000:
-                yield batch(schema, dict(zip("ab", zip(*found, strict=True), strict=True)))
-                found = []
-        if found:
+    found: list[tuple[int, int]] = []
+    for fps, reps in _grouped(batches):
+        found += _forest(fps, reps, bits) if len(fps) > 1 else []
+        if len(found) > 50_000:
             yield batch(schema, dict(zip("ab", zip(*found, strict=True), strict=True)))
+            found = []
+    if found:
+        yield batch(schema, dict(zip("ab", zip(*found, strict=True), strict=True)))
 
-    usual = met.filter(F.col("n") <= crowd).select(F.col("mask").cast("long"), "key", "fp", "rep")
-    usual = usual.repartition("mask", "key").sortWithinPartitions("mask", "key", "rep").mapInArrow(compare, "a long, b long")
-    flips = [F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit((1 << k) - ((1 << 64) if k == 63 else 0))) for k in range(64))]
-    balls = met.filter(F.col("n") > crowd).select("fp", "rep").distinct().select("rep", F.explode(F.array(*flips)).alias("centre"))
-    least = balls.groupBy("centre").agg(F.min("rep").alias("b"))
-    return usual.union(balls.join(least, "centre").filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct())
+
+def links(nodes: DataFrame, bits: int = BITS, blocks: int = BLOCKS, crowd: int = CROWD) -> DataFrame:
+    """Edges (a, b) between the ``rep`` of nodes (fp, rep), distinct by fp, whose closure links all pairs within ``bits``."""
+    spark, found = nodes.sparkSession, None
+    masks = masks_of(bits, blocks)
+    keyed = nodes.select("fp", "rep", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
+    while True:
+        keyed = keyed.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "rep")
+        sizes = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1")
+        met = reused(keyed.join(sizes, ["mask", "key"]))
+        finest = max(64 - m.bit_count() for m in masks) <= 2 * blocks  # so few bits are open that no key is a crowd
+        usual = met if finest else met.filter(F.col("n") <= crowd)
+        usual = usual.select("mask", "key", "fp", "rep").repartition("mask", "key").sortWithinPartitions("mask", "key", "rep")
+        edges = usual.mapInArrow(lambda batches: _compare(batches, bits), "a long, b long")
+        found = edges if found is None else found.union(edges)
+        crowded = met.filter(F.col("n") > crowd)
+        if finest or crowded.isEmpty():
+            return found
+        finer = {m: masks_of(bits, blocks, m) for m in masks}
+        table = spark.createDataFrame([(_signed(m), _signed(n)) for m, some in finer.items() for n in some], "mask long, finer long")
+        masks = sorted({n for some in finer.values() for n in some})
+        # one key may be reached from several; it is compared once
+        keyed = crowded.join(F.broadcast(table), "mask").select("fp", "rep", F.col("finer").alias("mask")).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
@@ -146,8 +159,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     doc_id keeps its row, with the component of its fingerprint. Other columns of
     docs are ignored, and an empty table gives an empty result.
     """
-    prints = stored(fingerprints(docs, doc_id, text), "fingerprints")
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
+    lean(docs.sparkSession)
+    prints = reused(fingerprints(docs, doc_id, text))
+    nodes = reused(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     merged = components(links(nodes.filter("rep IS NOT NULL"), crowd=crowd))
     classes = nodes.join(merged, nodes.rep == merged.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
@@ -158,12 +172,25 @@ def hexed(fp: F.Column) -> F.Column:
 
 
 def first_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of docs that stand for their class: one row, of the smallest doc_id, of each component.
+    """The rows of docs (doc_id, text, ...) that stand for their class in classes: one row of each component.
 
-    Rows that repeat that doc_id with the same fingerprint are copies too, so just one
-    of them stays (the least by its text's hash and lang, source); rows without a
+    It is the row of the smallest doc_id. Rows that repeat that doc_id are copies if they have
+    the same fingerprint: the least by a hash of the whole row stays, so that reruns agree. With
+    other fingerprints each stays that is in a class of that smallest doc_id. Rows without a
     doc_id have no say in a class and stay.
     """
-    chosen = classes.filter("doc_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(chosen, docs.doc_id.eqNullSafe(chosen.doc_id), "left_semi")
-    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
+    lean(docs.sparkSession)
+    told, fp = free(docs, "told"), free(docs, "fp")
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints = pa.array([fingerprint(x) for x in texts(b.column(at))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, prints], names=[*b.schema.names, fp])
+
+    rows = docs.filter("doc_id IS NOT NULL").mapInArrow(run, docs.withColumn(fp, F.lit(0).cast("long")).schema).withColumn(told, F.xxhash64(*docs.columns))
+    ids = rows.select(F.col("doc_id").alias("id"), F.col(fp).alias("own"), F.col(told).alias("h"))
+    chosen = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("id"), F.col("fp").alias("own")).distinct()
+    least = ids.join(chosen, ["id", "own"]).groupBy("id", "own").agg(F.min("h").alias("h")).toDF("__id", "__own", "__h")
+    kept = rows.join(least, (F.col("doc_id") == F.col("__id")) & (F.col(fp) == F.col("__own")) & (F.col(told) == F.col("__h")), "left_semi")
+    return kept.dropDuplicates(["doc_id", fp]).select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))

@@ -44,7 +44,7 @@ def test_classes_of_near_fingerprints(spark):
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     nodes = spark.createDataFrame(list(zip(signed, range(len(fps)), strict=True)), "fp long, rep long")
     want = brute(fps)
-    for crowd in (2048, 1):  # compared in the key's group, and by values within a bit
+    for crowd in (2048, 8, 1):  # keys compared as they are, and cut again, once or to the end
         merged = {r.node: r.component for r in components.components(simhash.links(nodes, crowd=crowd)).collect()}
         assert [merged.get(k, k) for k in range(len(fps))] == want
 
@@ -74,3 +74,50 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k + 1, k) for k in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in components.components(edges).collect()}
     assert got == {k: 0 for k in range(1, 41)} | {101: 100}
+
+
+def test_components_of_more_than_a_block(spark):
+    rng = random.Random(5)
+    pairs = [(k + 1, k) for k in range(1000)] + [(2000, 2001 + k) for k in range(400)] + [(3000 + rng.randint(0, 300), 3000 + rng.randint(0, 300)) for _ in range(200)]
+    rng.shuffle(pairs)
+    want = {r.node: r.component for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert want == {r.node: r.component for r in components.components(spark.createDataFrame(pairs, "a long, b long"), block=150).collect()}
+    assert all(want[k] == 0 for k in range(1, 1001)) and all(want[2001 + k] == 2000 for k in range(400))
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_five_thousand_fingerprints_under_one_key(spark):
+    """They agree on the upper half; the groups among them are those of all pairs."""
+    rng = random.Random(6)
+    low = sorted({rng.getrandbits(32) for _ in range(3000)} | {(k * 2654435761) % (1 << 32) ^ (1 << k % 32) for k in range(2000)} | {(k * 2654435761) % (1 << 32) for k in range(2000)})
+    fps = [0x0123456700000000 | x for x in low]
+    nodes = spark.createDataFrame(list(zip(fps, range(len(fps)), strict=True)), "fp long, rep long")
+    merged = {r.node: r.component for r in components.components(simhash.links(nodes)).collect()}
+    assert len(fps) > 5000 and [merged.get(k, k) for k in range(len(fps))] == brute_by_flips(fps)
+
+
+def brute_by_flips(fps):
+    """As brute, by looking up every value within two bits."""
+    at = {f: k for k, f in enumerate(fps)}
+    flips = [0, *(1 << a for a in range(32)), *((1 << a) | (1 << b) for a in range(32) for b in range(a))]
+    root = list(range(len(fps)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for k, f in enumerate(fps):
+        for x in flips:
+            if (j := at.get(f ^ x)) is not None:
+                a, b = find(k), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(k) for k in range(len(fps))]
+
+
+def test_one_doc_id_with_different_texts(spark):
+    """Neither text is lost, whichever class it is in."""
+    docs = spark.createDataFrame([(5, "alpha beta gamma delta epsilon", 1), (5, "one two three four five six", 1), (5, "one two three four five six", 2), (9, "alpha beta gamma delta epsilon", 1)], "doc_id long, text string, fp long")
+    kept = simhash.first_of_each(docs, simhash.near_duplicates(docs)).collect()
+    assert sorted((r.doc_id, r.text[:3]) for r in kept) == [(5, "alp"), (5, "one")]
