@@ -6,23 +6,29 @@ the current position and jumps as far as no pattern allows an occurrence; where
 shift is 0, the bucket of patterns that end in this block is compared word by word.
 Lengths under ``window`` come from items shorter than a window only.
 
-Patterns are sent to the tasks as one broadcast of at most ``MOST_WORDS`` words; a
-larger benchmark is searched in so many passes, whose spans are merged per document.
+A bucket is chosen by its patterns' last block and first word, and holds places in the
+items' own words. Patterns are sent to the tasks as one broadcast of at most
+``MOST_WORDS`` words, whose tables take about 0.5 kB a word and are built once a worker; a
+larger benchmark comes through the driver pass by pass, so many words at a time, and the
+spans of all passes are merged per document.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .shared import batch, stored, texts
+from .shared import batch, free, lean, reused, stored, texts
 
 WINDOW = 13
-MOST_WORDS = 4_000_000
+#: Words of a pass: about 130 MB in a worker.
+MOST_WORDS = 250_000
 #: A-Z become lower case, other ASCII that isn't a digit or letter a blank; bytes over 7F stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -34,18 +40,35 @@ def words_of(text: bytes | None) -> list[bytes]:
 class WuManber:
     """Patterns of words, all of one length, and the numbers of the items each belongs to."""
 
-    def __init__(self, length: int, patterns: dict[tuple[bytes, ...], set[int]]):
+    def __init__(self, length: int):
         self.length, self.block = length, min(2, length)
         self.most = length - self.block + 1
         self.shift: dict[bytes | tuple[bytes, ...], int] = {}
-        self.bucket: dict[bytes | tuple[bytes, ...], list[tuple[tuple[bytes, ...], tuple[int, ...]]]] = defaultdict(list)
-        for pattern, items in patterns.items():
-            for end in range(self.block, length + 1):
-                key = pattern[end - self.block : end] if self.block > 1 else pattern[end - 1]
-                self.shift[key] = min(self.shift.get(key, self.most), length - end)
-            self.bucket[pattern[-self.block :] if self.block > 1 else pattern[-1]].append((pattern, tuple(items)))
-
-    def search(self, words: list[bytes]) -> Iterator[tuple[int, tuple[int, ...]]]:
+        self.bucket: dict[tuple, list[tuple[list[bytes], int, list[int]]]] = defaultdict(list)
+
+    def _block(self, words: list[bytes], end: int) -> bytes | tuple[bytes, ...]:
+        return (words[end - 2], words[end - 1]) if self.block > 1 else words[end - 1]
+
+    def add(self, words: list[bytes], number: int) -> None:
+        """Every run of ``length`` of an item's words."""
+        size = self.length
+        for at in range(len(words) - size + 1):
+            for end in range(self.block, size + 1):
+                self._least(self._block(words, at + end), size - end)
+            there = self.bucket[self._block(words, at + size), words[at]]
+            for other, start, numbers in there:
+                if other[start : start + size] == words[at : at + size]:
+                    if numbers[-1] != number:
+                        numbers.append(number)
+                    break
+            else:
+                there.append((words, at, [number]))
+
+    def _least(self, key: bytes | tuple[bytes, ...], shift: int) -> None:
+        if shift < self.shift.get(key, self.most):
+            self.shift[key] = shift
+
+    def search(self, words: list[bytes]) -> Iterator[tuple[int, list[int]]]:
         """(first word, items) of every occurrence."""
         length, most, shift, end, n = self.length, self.most, self.shift.get, self.length, len(words)
         pairs = self.block > 1
@@ -56,19 +79,31 @@ class WuManber:
                 end += jump
                 continue
             at = end - length
-            for pattern, items in self.bucket[key]:
-                if words[at] == pattern[0] and tuple(words[at:end]) == pattern:
-                    yield at, items
+            for other, start, numbers in self.bucket.get((key, words[at]), ()):
+                if other[start : start + length] == words[at:end]:
+                    yield at, numbers
             end += 1
 
 
 def searchers(items: Iterable[tuple[int, list[bytes]]], window: int = WINDOW) -> list[WuManber]:
-    by_length: dict[int, dict[tuple[bytes, ...], set[int]]] = defaultdict(lambda: defaultdict(set))
+    by_length: dict[int, WuManber] = {}
+    one: dict[bytes, bytes] = {}  # equal words are one object
     for number, words in items:
-        size = min(window, len(words))
-        for at in range(len(words) - size + 1 if size else 0):
-            by_length[size][tuple(words[at : at + size])].add(number)
-    return [WuManber(size, patterns) for size, patterns in sorted(by_length.items())]
+        if words:
+            size = min(window, len(words))
+            by_length.setdefault(size, WuManber(size)).add([one.setdefault(w, w) for w in words], number)
+    return [engine for _, engine in sorted(by_length.items())]
+
+
+#: The last tables that this worker built, by the broadcast's mark.
+_built: dict[str, list[WuManber]] = {}
+
+
+def _searchers_of(mark: str, words: list[list[bytes]], window: int) -> list[WuManber]:
+    if mark not in _built:
+        _built.clear()
+        _built[mark] = searchers(enumerate(words), window)
+    return _built[mark]
 
 
 def hits(words: list[bytes], engines: list[WuManber]) -> tuple[list[tuple[int, int]], set[int]]:
@@ -121,16 +156,17 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_wor
     nothing. Only the named columns are read.
     """
     spark = docs.sparkSession
+    lean(spark)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("item_ids", pa.list_(pa.string()))])
     kind = "doc_id long, n_words long, spans array<array<int>>, item_ids array<string>"
 
     def over(items: list, rows: DataFrame) -> DataFrame:
         names = [x[0] for x in items]
-        sent = spark.sparkContext.broadcast((names, [w for _, w in items]))
+        mark, sent = uuid.uuid4().hex, spark.sparkContext.broadcast((names, [w for _, w in items]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, words = sent.value
-            engines = searchers(enumerate(words), window)
+            engines = _searchers_of(mark, words, window)
             for b in batches:
                 out: dict[str, list] = {f.name: [] for f in schema}
                 for text in texts(b.column(1)):
@@ -165,35 +201,31 @@ def is_contaminated(hit: F.Column, words: F.Column) -> F.Column:
     return (hit > 0) & (20 * hit >= words)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without the rows that are contaminated, found in one pass that carries all columns.
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_words: int = MOST_WORDS) -> DataFrame:
+    """docs without the rows in which a window of the benchmark occurs, however long the rest of their text.
 
-    Null texts have no words and stay.
+    Null and wordless texts have no words and stay; rows that repeat are each judged; all
+    columns of docs pass through, and an empty benchmark drops nothing. One pass over docs,
+    or one for each ``most_words`` words of the benchmark.
     """
-    found = flagged(docs, benchmark, window)
-    return found.filter(~F.col("__contaminated")).drop("__contaminated")
+    lean(docs.sparkSession)
+    flag, at, rows = free(docs, "hit"), docs.columns.index("text"), docs
+    schema = docs.withColumn(flag, F.lit(True)).schema
+    for k, items in enumerate(_passes(benchmark.select("item_id", "text"), most_words)):
+        if k:  # what the pass before kept
+            rows = reused(rows)
+        rows = _flagged(rows, [w for _, w in items], window, at, schema).filter(~F.col(flag)).drop(flag)
+    return rows
 
 
-def flagged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with a boolean column __contaminated."""
-    single = _single(benchmark, MOST_WORDS)
-    if single is None:
-        keyed = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-        found = search(keyed.select(F.col("__row").alias("doc_id"), "text"), benchmark, window)
-        bad = found.select(F.col("doc_id").alias("__row"), is_contaminated(n_hit(F.col("spans")), F.col("n_words")).alias("__contaminated"))
-        return keyed.join(bad, "__row").drop("__row")
-    sent = docs.sparkSession.sparkContext.broadcast([w for _, w in single])
-    at = docs.columns.index("text")
+def _flagged(docs: DataFrame, words: list[list[bytes]], window: int, at: int, schema: StructType) -> DataFrame:
+    """docs with a last column that tells whether any of the items' windows occurs."""
+    mark, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        engines = searchers(enumerate(sent.value), window)
+        engines = _searchers_of(mark, sent.value, window)
         for b in batches:
-            verdicts = []
-            for text in texts(b.column(at)):
-                found = words_of(text)
-                hit = sum(e - s for s, e in hits(found, engines)[0])
-                verdicts.append(hit > 0 and 20 * hit >= len(found))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(verdicts, pa.bool_())], names=[*b.schema.names, "__contaminated"])
-
-    return docs.mapInArrow(run, docs.select("*", F.lit(True).alias("__contaminated")).schema)
+            hit = [any(next(e.search(found), None) is not None for e in engines) for found in map(words_of, texts(b.column(at)))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit, pa.bool_())], names=schema.names)
 
+    return docs.mapInArrow(run, schema)

@@ -13,30 +13,30 @@ remember them per distinct token, up to ``REMEMBERED``, and score new words in b
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import texts
+from .shared import lean, reused, texts
 
-#: Bounds of the training sample: labelled documents (those of the smallest hashes), and distinct words a language (the most frequent).
-SAMPLE_DOCS = 6000
+#: Bounds of the training sample for each language: labelled documents (those of the smallest hashes), and distinct words (the most frequent).
+SAMPLE_DOCS = 1500
 SAMPLE_WORDS = 12_000
 ROUNDS = 3
 #: Characters of a word that are scored as one; longer words are scored in such parts.
 PART = 24
 SCORED_AT_ONCE = 8192
 FLOOR = 0.02  # of a piece's probability that comes from the languages' mean and an even share
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 START = "▁"
 UNDETERMINED = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 def vocabulary(path: str) -> list[str]:
@@ -187,22 +187,26 @@ def fit(counted: Iterable[tuple[str, str, int]], pieces: list[str], rounds: int
 
 
 def train(docs: DataFrame, vocabulary_path: str, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Model:
-    """A model from labelled documents (doc_id, text, lang), bounded by sample_docs and sample_words.
+    """A model from labelled documents (doc_id, text, lang), bounded by sample_docs and sample_words for each language.
 
-    The sample is the documents of the smallest hashes of doc_id; only those rows' texts
-    are read, and their words counted, on the executors. Rows without lang or text are no
-    examples. No labelled rows at all give a model without languages.
+    The sample is, for each language, the documents of the smallest hashes of doc_id, so
+    that a rare language is learned beside a frequent one; only those rows' texts are
+    read, and their words counted, once, on the executors. What reaches the driver is a
+    row for each language, then sample_words rows for each. Rows without lang or text are
+    no examples. No labelled rows at all give a model without languages.
     """
-    labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("__h", F.xxhash64(F.lit("langid"), F.col("doc_id")))
-    last = labelled.select("__h").orderBy("__h").limit(sample_docs).agg(F.max("__h")).first()[0]
-    if last is None:
+    lean(docs.sparkSession)
+    labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64(F.lit("langid"), F.col("doc_id")).alias("h"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # a task sends sample_docs rows of a language at most
+    last = {r[0]: r[1] for r in labelled.select("lang", "h").withColumn("nth", nth).filter(F.col("nth") <= sample_docs).groupBy("lang").agg(F.max("h")).collect()}
+    if not last:
         return fit([], vocabulary(vocabulary_path))
-    words = labelled.filter(F.col("__h") <= last).select("lang", F.explode(F.split("text", r"\s+")).alias("token")).groupBy("lang", "token").count()
-    langs = [r[0] for r in words.select("lang").distinct().collect()]
-    counted = []
-    for lang in sorted(langs):
-        top = words.filter(F.col("lang") == lang).orderBy(F.desc("count"), "token").limit(sample_words)
-        counted += [(lang, r.token, r["count"]) for r in top.collect()]
+    bounds = F.broadcast(docs.sparkSession.createDataFrame(sorted(last.items()), "lang string, last long"))
+    sample = labelled.join(bounds, "lang").filter("h <= last")
+    words = reused(sample.select("lang", F.explode(F.split("text", r"\s+")).alias("token")).groupBy("lang", "token").count())
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "token"))
+    counted = [tuple(r) for r in words.withColumn("nth", nth).filter(F.col("nth") <= sample_words).orderBy("lang", "nth").select("lang", "token", "count").collect()]
+    words.unpersist()
     return fit(counted, vocabulary(vocabulary_path))
 
 
@@ -248,16 +252,19 @@ class Scorer:
 
 
 #: Characters whose tokens are learned together.
-_LEARNED_AT_ONCE = 1 << 21
+_LEARNED_AT_ONCE = 1 << 20
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score (the posterior of lang_pred, even priors) for each row's text.
 
-    A text that is null or has no letter is ``und`` with score 0, and so is every text if
-    no language was learned. Equal scores go to the first language by code point. Rows
-    that repeat a doc_id are each returned; columns of docs pass through.
+    A text that is null or has no letter (Unicode's category L) is ``und`` with score 0,
+    and so is every text if no language was learned. Equal scores go to the first language
+    by code point. Rows that repeat a doc_id are each returned; columns of docs pass
+    through, but for any that are named lang_pred or score, which these two replace.
     """
+    lean(docs.sparkSession)
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score")])
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.pieces, model.table))
     at = docs.columns.index("text")
 

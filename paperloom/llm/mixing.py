@@ -2,15 +2,16 @@
 
 Each source is a queue of its documents in a shuffled order that depends on the seed
 and doc_id alone. A document's virtual finish time is its source's cumulative size up
-to its end, over the source's target; the mix serves documents by finish time until
-the total budget is spent. As the targets sum to the budget, that is virtual time 1:
-every source has then sent its target, to the word, the last document of a source
-being cut there. A source whose target is above its size sends its documents a second
-time; no target is above ``MOST_PASSES`` times the source's size.
-
-Cumulative sizes are two-level: sums by (source, slice of the shuffle key), a running
-sum over those sums, then a running sum inside each slice. No source, however large,
-is gathered in one task.
+to its end, over the source's target. The mix range-sorts all documents of all sources
+by finish time and takes them in that order until the total budget is spent; the
+document that crosses the budget is cut there. As the targets sum to the budget, that is
+about virtual time 1, and every source ends within a document of its target. A source
+whose target is above its size queues its documents a second time; no target is above
+``MOST_PASSES`` times the source's size.
+
+Cumulative sizes are two-level, in the queues and over the whole mix: sums by slice (of
+the shuffle key, or of virtual time), a running sum over those sums, then a running sum
+inside each slice. No source, however large, is gathered in one task.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import free, reused
 
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 2
@@ -26,6 +27,7 @@ MOST_PASSES = 2
 BUDGET = (3, 2)
 SEED = "mix-1"
 SLICE_DIGITS = 3  # of the hexadecimal shuffle key: 4,096 slices of a source
+SLICES = 4096  # of the virtual time that the mix takes
 
 
 def n_words(text: Column) -> Column:
@@ -88,10 +90,32 @@ def queued(sizes: DataFrame) -> DataFrame:
     return placed.alias("d").join(per_source.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "t.source_size", "t.target").drop("within", "slice", "order")
 
 
-def taken_in(turn: int) -> Column:
-    """Words of a queued document that the mix takes in pass ``turn`` (0, 1): up to the source's target, rounded down."""
-    left = F.floor("target") - (F.col("done") + turn * F.col("source_size"))
-    return F.greatest(F.lit(0), F.least(F.col("size"), left)).cast("long")
+def _turns(queue: DataFrame) -> DataFrame:
+    """A row for each pass in which a row of the queue may be sent, with turn and finish, its virtual finish time."""
+    each = F.array(*[F.struct(F.lit(k).alias("turn"), ((F.col("done") + k * F.col("source_size") + F.col("size")).cast("double") / F.col("target")).alias("finish")) for k in range(MOST_PASSES)])
+    return queue.filter("size > 0 AND target > 0").select("*", F.explode(each).alias("each_turn")).select("*", "each_turn.*").drop("each_turn")
+
+
+def schedule(queue: DataFrame) -> DataFrame:
+    """Rows of queue, a stored or kept table, with turn, finish, before (words of the mix before it) and taken (its words within the budget).
+
+    Rows are range-sorted by finish over all partitions; equal times go by source, nulls
+    last, then by place in the queue. Rows that the budget doesn't reach are left out: it is
+    spent by the time at which the last source sends the document that completes its target.
+    """
+    turns, (up, down) = _turns(queue), BUDGET
+    completed = turns.filter("finish >= 1").groupBy("source").agg(F.min("finish").alias("finish"))
+    last = completed.agg(F.max("finish")).first()[0] or 1.0
+    budget = up * (queue.agg(F.sum("size")).first()[0] or 0) // down
+    near = turns.filter(F.col("finish") <= last)
+    near = near.withColumn("slice", F.floor(F.col("finish") / last * SLICES))
+    sums = near.groupBy("slice").agg(F.sum("size").alias("slice_size"))
+    sums = sums.select("slice", (F.sum("slice_size").over(Window.orderBy("slice")) - F.col("slice_size")).alias("earlier"))
+    inside = Window.partitionBy("slice").orderBy("finish", F.col("source").asc_nulls_last(), "turn", "done").rowsBetween(Window.unboundedPreceding, 0)
+    placed = near.repartitionByRange("slice").withColumn("within", F.sum("size").over(inside) - F.col("size"))
+    placed = placed.join(F.broadcast(sums), "slice").withColumn("before", F.col("earlier") + F.col("within"))
+    taken = F.least(F.col("size"), F.lit(budget) - F.col("before")).cast("long")
+    return placed.withColumn("taken", taken).filter("taken > 0").drop("slice", "earlier", "within")
 
 
 def mix(sizes: DataFrame) -> DataFrame:
@@ -101,27 +125,29 @@ def mix(sizes: DataFrame) -> DataFrame:
     id; equal rows take their turns one after the other; size 0 takes nothing. Source
     sizes of 0 give target 0. An empty table gives no rows.
     """
-    return queued(sizes).select("doc_id", "size", "source_size", "target", sum((taken_in(k) for k in range(1, MOST_PASSES)), taken_in(0)).alias("taken"))
-
-
-def schedule(queue: DataFrame) -> DataFrame:
-    """Rows of queue with turn and finish (virtual finish time): one for each pass in which at least half of the row's words are within the budget.
-
-    Whole documents are sent, so a source ends within half a document of its target.
-    """
-    turns = F.array(*[F.struct(F.lit(k).alias("turn"), taken_in(k).alias("taken"), ((F.col("done") + k * F.col("source_size") + F.col("size")) / F.col("target")).alias("finish")) for k in range(MOST_PASSES)])
-    return queue.select("*", F.explode(turns).alias("each_turn")).select("*", "each_turn.*").drop("each_turn").filter("taken > 0 AND 2 * taken >= size")
+    queue = reused(queued(sizes))
+    names = ["doc_id", "size", "source_size", "target", "taken"]
+    none = F.lit(0).cast("long").alias("taken")
+    sent = schedule(queue).select("source", "done", *names)
+    # a row's place in its queue tells it from all others that have words
+    both = sent.union(queue.filter("size > 0").select("source", "done", *names[:-1], none))
+    summed = both.groupBy("source", "done", *names[:-1]).agg(F.sum("taken").alias("taken"))
+    return summed.select(*names).union(queue.filter("size = 0").select(*names[:-1], none))
 
 
 def served(docs: DataFrame) -> DataFrame:
-    """The mix itself: rows of docs (doc_id, text, source, ...) once for each time they are sent, sorted by finish time over all partitions.
+    """The mix itself: rows of docs (doc_id, text, source, ...) once for each time they are sent, in no order.
 
-    Rows that are equal throughout go together. Rows without words are never sent: they
-    take nothing of a budget of words.
+    Whole documents are sent: the one that crosses the budget if half of it is within. The
+    schedule sorts ids and sizes only, and texts move once, to meet it. Rows that are equal
+    throughout go together. Rows without words are never sent: they take nothing of a
+    budget of words.
     """
-    marked = docs.withColumn("__row", F.xxhash64(*docs.columns))
-    sizes = marked.select("doc_id", "source", n_words(F.col("text")).alias("size"), "__row")
-    queue = queued(stored(sizes.groupBy("doc_id", "source", "__row").agg(F.sum("size").alias("size")), "sizes"))
-    sent = schedule(queue).select(F.col("doc_id").alias("__id"), F.col("__row").alias("__sent"), F.col("finish").alias("__finish"))
-    rows = marked.join(sent, (F.col("__row") == F.col("__sent")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    return rows.repartitionByRange("__finish").sortWithinPartitions("__finish").select(*docs.columns)
+    row = free(docs, "row")
+    marked = docs.withColumn(row, F.xxhash64(*docs.columns))
+    sizes = marked.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.col(row).alias("row"))
+    queue = reused(queued(reused(sizes.groupBy("doc_id", "source", "row").agg(F.sum("size").alias("size")))))
+    sent = schedule(queue).filter("2 * taken >= size").groupBy("doc_id", "row").agg(F.count("*").alias("times"))
+    sent = sent.select(F.col("doc_id").alias("__id"), F.col("row").alias("__sent"), "times")
+    rows = marked.alias("d").join(sent.alias("s"), (F.col(f"d.{row}") == F.col("s.__sent")) & F.col("d.doc_id").eqNullSafe(F.col("s.__id")))
+    return rows.select("d.*", F.explode(F.array_repeat(F.lit(0), F.col("s.times").cast("int")))).select(*docs.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, codes, decontaminate, langid, licenses, mixing, simhash, suffix, url_filter, vectors
-from .shared import scratch_path, stored
+from .shared import reused, scratch_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -140,7 +140,7 @@ FROM e GROUP BY conv_id
 def op6_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents at weights 5, 2, 1 over one and a half times their words."""
     docs = table(spark, sf_dir, "documents")
-    return mixing.mix(stored(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")), "sizes"))
+    return mixing.mix(reused(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))))
 
 
 ORACLE["op6_weighted_mix"] = r"""
@@ -159,12 +159,16 @@ c AS (SELECT *, w * (3 * total - 4 * before) >= 4 * s * sharing AS capped FROM o
 g AS (SELECT *, 3 * total - 4 * sum(CASE WHEN capped THEN s ELSE 0 END) OVER () AS rest, sum(CASE WHEN capped THEN 0 ELSE w END) OVER () AS shared FROM c),
 x AS (SELECT source, s, CASE WHEN capped THEN CAST(2 * s AS DOUBLE) ELSE CAST(w * rest AS DOUBLE) / CAST(2 * shared AS DOUBLE) END AS target FROM g),
 q AS (
-  SELECT d.*, x.s, x.target,
-         CAST(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS BIGINT) AS done
-  FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source)
-SELECT doc_id, size, s AS source_size, target,
-       CAST(greatest(0, least(size, floor(target)::BIGINT - done)) + greatest(0, least(size, floor(target)::BIGINT - done - s)) AS BIGINT) AS taken
-FROM q
+  SELECT d.*, x.s, x.target, row_number() OVER () AS n,
+         CAST(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS done
+  FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source),
+f AS (SELECT n, source, size, done, turn, CAST(done + turn * s AS DOUBLE) / target AS finish FROM q, (VALUES (0), (1)) AS v(turn) WHERE size > 0),
+m AS (
+  SELECT n, size, sum(size) OVER (ORDER BY finish, source ASC NULLS LAST, turn, done ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before,
+         (SELECT CAST(floor(sum(size) * 3 / 2) AS BIGINT) FROM d) AS budget
+  FROM f),
+u AS (SELECT n, CAST(sum(greatest(0, least(size, budget - before))) AS BIGINT) AS taken FROM m GROUP BY n)
+SELECT doc_id, size, s AS source_size, target, coalesce(taken, 0) AS taken FROM q LEFT JOIN u USING (n)
 """
 
 

@@ -163,7 +163,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     prints = reused(fingerprints(docs, doc_id, text))
     nodes = reused(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     merged = components(links(nodes.filter("rep IS NOT NULL"), crowd=crowd))
-    classes = nodes.join(merged, nodes.rep == merged.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    # kept: the join then reads two plain exchanges, and Spark splits the rows of a hot fingerprint over tasks
+    classes = reused(nodes.join(merged, nodes.rep == merged.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -257,7 +257,7 @@ def starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     entries = reused(met.groupBy("a", "e1", "e2").agg(F.count("*").alias("n"), *[F.first(k).alias(k) for k in ("doc_id", "h", "at")]))
     twice = stored(entries.filter("n > 1").select("a", "e1", "e2"), "twice")
     # triggers under which a phrase that occurs once meets another
-    open_ = entries.groupBy("a").agg(F.min("n").alias("least"), F.count("*").alias("crowd")).filter("least = 1 AND crowd > 1").select("a")
+    open_ = stored(entries.groupBy("a").agg(F.min("n").alias("least"), F.count("*").alias("crowd")).filter("least = 1 AND crowd > 1").select("a"), "open")
     asked = entries.join(open_, "a").selectExpr("a", "n = 1 AS open", "doc_id", "h", f"{_X} AS x", f"{_BEFORE} AS before", f"{_AFTER} AS after")
     lists = stored(asked.groupBy("doc_id", "h").agg(F.collect_list(F.struct("a", "open", "x", "before", "after")).alias("asked")), "lists")
     entries.unpersist()
@@ -270,7 +270,7 @@ def starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     whole = met.join(twice, ["a", "e1", "e2"]).select("doc_id", "h", first.alias("first"), (first + F.expr(_AFTER)).alias("last"))
     spans = stored(whole.union(once).groupBy("doc_id", "h").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")
     met.unpersist()
-    discard(often, twice, lists, read)
+    discard(often, open_, twice, lists, read)
     sweep(spark)
     return spans
 

@@ -60,8 +60,18 @@ def test_nothing(spark):
 
 
 def test_clean_keeps_columns_and_clean_documents(spark):
-    rows = spark.createDataFrame([(*d, "x") for d in DOCS], "doc_id long, text string, __kept string")
+    rows = spark.createDataFrame([(*d, "x", 1) for d in DOCS], "doc_id long, text string, hit string, __row int")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    kept = D.clean(rows, bench)
-    assert kept.columns == rows.columns
-    assert sorted(r[0] for r in kept.select(F.coalesce("doc_id", F.lit(-1))).collect()) == [1, 2, 4, 5, 8]
+    want = sorted(i for i, _, spans, _ in expected(DOCS, ITEMS) if not spans)
+    for most in (D.MOST_WORDS, 15):
+        kept = D.clean(rows, bench, most_words=most)
+        assert kept.columns == rows.columns
+        assert sorted(str(r.doc_id) for r in kept.collect()) == want == ["1", "2", "4", "5"]
+    assert D.clean(rows, bench.limit(0)).count() == len(DOCS) and D.clean(rows.limit(0), bench).count() == 0
+
+
+def test_a_window_of_many_items_is_kept_once():
+    items = [W[:20], *[W[:13]] * 50, [*W[:13], "x"]]
+    engine = D.searchers(enumerate(items))[0]
+    assert max(len(some) for some in engine.bucket.values()) == 1
+    assert D.hits(W[:13], [engine])[1] == set(range(52))

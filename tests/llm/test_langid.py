@@ -59,10 +59,10 @@ def test_held_out_accuracy_on_texts_alone(spark, docs):
 
 def test_strange_texts(spark, docs):
     model = queries.language_model(docs)
-    rows = spark.createDataFrame([(1, None), (2, ""), (3, "12 !! 34"), (4, "日本"), (5, "a" * 100_000), (6, "the"), (6, "the"), (None, "x")], "doc_id long, text string")
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, "12 !! 34"), (4, "日本"), (5, "a" * 100_000), (6, "the"), (6, "the"), (None, "x"), (7, "\u00bd \u00b2 \u2167 \u2460 3")], "doc_id long, text string")
     got = langid.predicted(rows, model).collect()
-    assert len(got) == 8 and all(0 <= r.score <= 1 and not math.isnan(r.score) for r in got)
-    assert {r.doc_id for r in got if r.lang_pred == "und"} == {1, 2, 3}
+    assert len(got) == 9 and all(0 <= r.score <= 1 and not math.isnan(r.score) for r in got)
+    assert {r.doc_id for r in got if r.lang_pred == "und"} == {1, 2, 3, 7}
     assert langid.predicted(rows.limit(0), model).count() == 0
 
 
@@ -70,3 +70,13 @@ def test_nothing_to_learn_from(spark):
     none = spark.createDataFrame([(1, None, "en"), (2, "text", None)], "doc_id long, text string, lang string")
     model = queries.language_model(none)
     assert model.langs == [] and {r.lang_pred for r in langid.predicted(none.select("doc_id", "text"), model).collect()} == {"und"}
+
+
+def test_a_rare_language_is_learned_and_names_may_clash(spark):
+    rows = [(k, "the cat and the dog went to the house", "en", 0.5, "own") for k in range(300)] + [(1000 + k, "paka na mbwa walikwenda nyumbani kwetu", "sw", 0.5, "own") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, Score double, lang_pred string")
+    model = langid.train(docs, queries.vocabulary_file("piece_bpe_32k.model"), sample_docs=5)
+    assert model.langs == ["en", "sw"]
+    got = langid.predicted(docs, model)
+    assert got.columns == ["doc_id", "text", "lang", "lang_pred", "score"]
+    assert got.filter("lang <> lang_pred").count() == 0
