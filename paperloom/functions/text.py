@@ -57,6 +57,12 @@ def number(text: Column) -> Column:
     return F.replace(text, F.lit(","), F.lit("")).cast("double")
 
 
+def written(value: Column) -> Column:
+    """A number as text with its decimal point, never in powers of ten: 15.0, 12500000.0, 0.5."""
+    digits = F.regexp_replace(value.cast("decimal(38,10)").cast("string"), "0+$", "")
+    return F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+
+
 def first_number(text: Column) -> Column:
     return number(F.nullif(F.regexp_extract(text, NUMERIC, 1), F.lit("")))
 
@@ -65,12 +71,14 @@ def year(text: Column) -> Column:
     return F.regexp_extract(text, r"(?U)\b((?:19|20)\d{2})\b", 1)
 
 
-#: Month names.
+#: Month names, and their short forms.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+SHORT_MONTHS = ("jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "sept", "oct", "nov", "dec")
 
 
 def month(text: Column) -> Column:
-    return F.regexp_extract(F.lower(text), rf"(?U)\b({'|'.join(MONTHS)})\b", 1)
+    """The first month named, in full or in short, in lower case; empty where there is none."""
+    return F.regexp_extract(F.lower(text), rf"(?U)\b({'|'.join(MONTHS + SHORT_MONTHS)})\b", 1)
 
 
 def date_hint(sentence: Column) -> Column:
@@ -80,8 +88,8 @@ def date_hint(sentence: Column) -> Column:
 
 
 def full_date(text: Column) -> Column:
-    """The first `d Month yyyy`, month in full or of three letters; empty where there is none."""
-    full, short = "|".join(MONTHS), "|".join(m[:3] for m in MONTHS)
+    """The first `d Month yyyy` with the month in full, else the first with it in short; empty where there is none."""
+    full, short = "|".join(MONTHS), "|".join(SHORT_MONTHS)
     first = F.regexp_extract(text, rf"(?iU)\b(\d{{1,2}}\s+(?:{full})\s+\d{{4}})\b", 1)
     return F.when(first != "", first).otherwise(F.regexp_extract(text, rf"(?iU)\b(\d{{1,2}}\s+(?:{short})\s+\d{{4}})\b", 1))
 
@@ -120,7 +128,7 @@ def title(text: Column) -> Column:
     line = F.regexp_replace(collapsed(line), r"^[ :\-]+|[ :\-]+$", "")
     count = F.size(words(line))
     capital = F.size(F.filter(words(line), lambda w: F.substring(w, 1, 1).rlike(r"\p{Lu}")))
-    shouted = line.rlike(r"\p{L}") & (F.upper(line) == line)
+    shouted = line.rlike("[A-Za-z]") & (F.upper(line) == line)
     titled = (capital >= 0.7 * count) & (F.length(line) <= 110)
     named = line.rlike(r"(?U)^\d+(?:[.:)\-]|\s)") | F.lower(line).rlike(r"(?U)^(?:chapter|section|appendix|glossary)\b") | (count.between(2, 14) & (shouted | titled))
     return F.when((line != "") & ~F.lower(line).isin("content", "statistical bulletin") & named, F.substring(line, 1, 120))
@@ -128,7 +136,7 @@ def title(text: Column) -> Column:
 
 def normal_title(text: Column) -> Column:
     low = F.regexp_replace(strip(F.lower(text)), r"(?U)^section\s+\d+\s*[:.\-]?\s*", "")
-    low = F.regexp_replace(low, r"^\d+\s*[:.\-]\s*", "")
+    low = F.regexp_replace(low, r"^\d+\s*[:.\-]?\s*", "")
     return strip(F.regexp_replace(low, r"[^a-z0-9]+", " "))
 
 

@@ -19,13 +19,13 @@ def citations(pages: DataFrame, semantic: DataFrame, found: DataFrame, sections:
     """(question_id, document_id, nth, source, page_num, content_hash, excerpt): evidence in order of source, each (page, hash) once.
 
     pages: of search.page_search. semantic: (question_id, document_id, nth, page_num,
-    content_hash, text). found: of facts.by_question. sections: (question_id, document_id,
+    content_hash, text). found: of facts.by_question, for numerical questions. sections: (question_id, document_id,
     nth, section_id, page_refs, summary), of which the first two pages count.
     """
     cols = [*_KEY, "source", "rank", "ord", "page_num", "content_hash", "excerpt"]
-    one = pages.select(*_KEY, F.lit("page").alias("source"), F.lit(0).alias("rank"), F.col("nth").alias("ord"), "page_num", F.sha2("excerpt", 256).alias("content_hash"), "excerpt")
+    one = pages.select(*_KEY, F.lit("page").alias("source"), F.lit(0).alias("rank"), F.col("nth").alias("ord"), "page_num", "content_hash", F.substring("excerpt", 1, 260).alias("excerpt"))
     two = semantic.select(*_KEY, F.lit("semantic").alias("source"), F.lit(1).alias("rank"), F.col("nth").alias("ord"), "page_num", "content_hash", F.substring("text", 1, 260).alias("excerpt"))
-    three = found.select(*_KEY, F.lit("fact").alias("source"), F.lit(2).alias("rank"), F.col("nth").alias("ord"), "page_num", "content_hash", F.col("sentence").alias("excerpt"))
+    three = found.select(*_KEY, F.lit("fact").alias("source"), F.lit(2).alias("rank"), F.col("nth").alias("ord"), "page_num", "content_hash", F.substring("sentence", 1, 260).alias("excerpt"))
     refs = sections.select(*_KEY, "nth", "section_id", "summary", F.posexplode(F.slice("page_refs", 1, 2)).alias("p", "page_num"))
     four = refs.select(*_KEY, F.lit("section").alias("source"), F.lit(3).alias("rank"), (F.col("nth") * 2 + F.col("p")).alias("ord"), "page_num", F.sha2(F.concat("section_id", F.lit("|"), F.col("page_num").cast("string")), 256).alias("content_hash"), F.col("summary").alias("excerpt"))
     every = one.select(cols).unionByName(two.select(cols)).unionByName(three.select(cols)).unionByName(four.select(cols))
@@ -43,92 +43,138 @@ def overlap(claim: Column, excerpt: Column) -> Column:
 
 
 def verified(cited: DataFrame, questions: DataFrame, pages: DataFrame) -> DataFrame:
-    """cited with status, from the cited page's whole text; a missing page leaves it as weak. None is dropped."""
+    """cited with status, from the cited page's whole text, or the citation's excerpt where the page is missing or blank. None is dropped."""
     rows = cited.join(questions.select(*_KEY, "question"), _KEY).join(pages.select("document_id", "page_num", F.col("text").alias("page_text")), ["document_id", "page_num"], "left")
-    supports = F.coalesce(overlap(F.col("question"), F.col("page_text")), F.lit(False))
+    seen = F.when(T.strip(F.coalesce("page_text", F.lit(""))) != "", F.col("page_text")).otherwise(F.coalesce("excerpt", F.lit("")))
+    supports = F.coalesce(overlap(F.col("question"), seen), F.lit(False))
     return rows.withColumn("status", F.when(supports, "supports_claim").otherwise("weak_support")).drop("page_text", "question")
 
 
-def fact_sentence(question: Column, value: Column, unit: Column, date: Column, page: Column) -> Column:
+#: What a fact is called in an answer, by the first of these that the question has.
+LABELS = ("general inflation", "food inflation", "inflation", "net profit", "total assets", "revenue")
+
+
+def fact_sentence(question: Column, metric: Column, value: Column, unit: Column, date: Column, page: Column) -> Column:
+    """The answer that a fact gives: named by the question, else by its own metric; of its date, else the question's year."""
     low = facts.normal_question(question)
-    label = F.lit("the requested figure")
-    for phrase in reversed(facts.PHRASES):
+    label = T.strip(F.when(metric != "", metric).otherwise("metric"))
+    for phrase in reversed(LABELS):
         label = F.when(F.contains(low, F.lit(phrase)), phrase).otherwise(label)
-    when = F.when(date != "", F.concat(F.lit(" for "), date)).otherwise("")
-    return F.concat(F.lit("The document reports "), label, F.lit(" of "), value.cast("string"), unit, when, F.lit(" on page "), page.cast("string"), F.lit("."))
+    of = F.coalesce(F.nullif(date, F.lit("")), T.year(question))
+    when = F.when(of != "", F.concat(F.lit(" for "), of)).otherwise("")
+    return F.concat(F.lit("The document reports "), label, F.lit(" of "), T.written(value), F.coalesce(unit, F.lit("")), when, F.lit(" on page "), page.cast("string"), F.lit("."))
 
 
-TARGETS = (("total assets", "total assets"), ("net profit", "net profit"), ("revenue", "revenue from contracts with customers"))
+REVENUE = "revenue from contracts with customers"
+#: A cell of a year table.
+_CELL = r"(?:\d{1,3}(?:,\d{3})*|\d+)"
 
 
 def row_answer(question: Column, page_text: Column, page: Column) -> Column:
-    """The answer that a financial row of the page gives, or null: by year from a year table, else the first grouped number after its label."""
+    """The answer that a financial row of the page gives, or null: the year's cell of a year table, else the first grouped number after its label."""
     low, flat = facts.normal_question(question), T.collapsed(page_text)
-    asked = T.year(question)
-    # year, revenue, cost and profit of a year table's row
-    row = F.regexp_extract_all(flat, F.concat(F.lit(r"\b"), asked, F.lit(r"((?:\s+[\d,]+(?:\.\d+)?){3})")), F.lit(1))
-    cells = F.split(T.strip(F.coalesce(F.try_element_at(row, F.lit(1)), F.lit(""))), r"\s+")
-    place = F.when(F.contains(low, F.lit("profit")), 3).when(F.contains(low, F.lit("cost")), 2).when(F.contains(low, F.lit("revenue")), 1)
-    cell = F.try_element_at(cells, place)
-    kind = F.when(F.contains(low, F.lit("profit")), "net profit").when(F.contains(low, F.lit("cost")), "operating cost").otherwise("revenue")
-    in_table = (asked != "") & F.contains(F.lower(flat), F.lit("year revenue")) & (F.coalesce(cell, F.lit("")) != "")
-    out = F.when(in_table, F.concat(F.lit("The document reports "), kind, F.lit(" of "), cell, F.lit(" in "), asked, F.lit(" on page "), page.cast("string"), F.lit(".")))
-    for mark, target in TARGETS:
-        value = F.regexp_extract(flat, rf"(?i){target}[^0-9]*?(\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?)", 1)
-        dated = T.full_date(flat)
-        as_of = F.when(dated != "", F.concat(F.lit(" as of "), dated)).otherwise("")
-        out = F.coalesce(out, F.when(F.contains(low, F.lit(mark)) & (value != ""), F.concat(F.lit(f"The document reports {target} of "), value, as_of, F.lit(" on page "), page.cast("string"), F.lit("."))))
+    flat_low = F.lower(flat)
+    asked, dated = T.year(question), T.full_date(low)
+    has = lambda text, mark: F.contains(text, F.lit(mark))
+    assets = has(low, "assets") & has(low, "total")
+    target = F.when(assets, "total assets").when(has(low, "net profit"), "net profit").when(has(low, "revenue"), REVENUE)
+    # year, revenue, cost and profit of each row of a year table
+    rows = F.regexp_extract_all(flat, F.lit(rf"\b(20\d\d\s+{_CELL}\s+{_CELL}\s+{_CELL})\b"), F.lit(1))
+    row = F.split(F.try_element_at(F.filter(rows, lambda r: F.substring(r, 1, 4) == asked), F.lit(1)), r"\s+")
+    cell = F.when(target == REVENUE, F.try_element_at(row, F.lit(2))).when(target == "net profit", F.try_element_at(row, F.lit(4)))
+    in_table = (asked != "") & has(flat_low, "year revenue") & F.contains(flat_low, target) & cell.isNotNull()
+    where = F.concat(F.lit(" on page "), page.cast("string"), F.lit("."))
+    by_table = F.when(in_table, F.concat(F.lit("The document reports "), target, F.lit(" of "), cell, F.lit(" in "), asked, where))
+    # a page without the question's date counts if it has both periods
+    of_date = (dated == "") | F.contains(flat_low, dated) | has(flat_low, "30 june 2022") | ~has(dated, "2022")
+    found = F.lit(None).cast("string")
+    for mark in (REVENUE, "net profit", "total assets"):
+        found = F.when(target == mark, F.regexp_extract(flat, rf"(?i){mark}.*?(\d{{1,3}}(?:,\d{{3}})+)", 1)).otherwise(found)
+    label = F.when(target == REVENUE, "revenue").otherwise(target)
+    as_of = F.when(dated != "", F.concat(F.lit(" as of "), dated)).otherwise("")
+    return F.coalesce(by_table, F.when((found != "") & of_date, F.concat(F.lit("The document reports "), label, F.lit(" of "), found, as_of, where)))
+
+
+#: What a page must have, in one of the spellings, if the question has the first.
+_SUPPORT = (("approved", ("approved",)), ("authorised", ("authorised", "authorized")), ("issue", ("issue",)))
+
+
+def supports_question(text: Column, question: Column) -> Column:
+    """Whether a text has the approval, authorisation and issue that the question speaks of."""
+    low, asked, out = F.lower(text), F.lower(question), F.lit(True)
+    for mark, spellings in _SUPPORT:
+        out = out & (~asked.contains(mark) | T.has_any(low, spellings))
     return out
 
 
+def supports_number(text: Column, question: Column) -> Column:
+    """Whether a text has one of the question's phrases, or, of a question without any, two of its keywords."""
+    low, asked = F.lower(text), facts.normal_question(question)
+    named = phrase = F.lit(False)
+    for mark in SUPPORTED:
+        named = named | asked.contains(mark)
+        phrase = phrase | (asked.contains(mark) & low.contains(mark))
+    return F.when(named, phrase).otherwise(F.size(F.filter(facts.keywords(question), lambda w: F.contains(low, w))) >= 2)
+
+
+def date_near(text: Column, question: Column, radius: int = 140) -> Column:
+    """The date near the question's first anchor in the text, else the first of the whole text; empty where there is none.
+
+    Anchors are words of approval, then the question's keywords, in that order.
+    """
+    first = ("approved", "authorised", "authorized", "issue")
+    anchors = F.concat(F.array(*map(F.lit, first)), F.filter(facts.keywords(question), lambda w: ~w.isin(*first)))
+    places = F.filter(F.transform(anchors, lambda w: F.instr(F.lower(text), w)), lambda p: p > 0)
+    at = F.try_element_at(places, F.lit(1)) - 1
+    start = F.greatest(F.lit(0), at - radius)
+    scoped = T.full_date(F.coalesce(F.substring(text, start + 1, at + radius - start), text))
+    return F.when(scoped != "", scoped).otherwise(T.full_date(text))
+
+
 def answers(questions: DataFrame, pages: DataFrame, hits: DataFrame, found: DataFrame, semantic: DataFrame, sections: DataFrame, cited: DataFrame) -> DataFrame:
-    """(question_id, document_id, answer, status): the first rung of the ladder that holds.
+    """(question_id, document_id, answer, status): the first rung of the ladder that holds; status is grounded or not_found.
 
-    Financial row; fact; pages; date; refusal of an unsupported number; excerpt; other
-    refusals; first semantic hit; first section.
+    Financial row; fact (of numerical questions); supported pages; date; refusal of an
+    unsupported number; excerpt of a supported first page; other refusals; first semantic
+    hit; first section. A question without citations finds nothing.
     """
     q = F.col("question")
     first = lambda rows, **cols: rows.filter("nth = 1").select(*_KEY, *[c.alias(n) for n, c in cols.items()])
     text = hits.join(pages.select("document_id", "page_num", F.col("text").alias("page_text")), ["document_id", "page_num"]).join(questions.select(*_KEY, "question"), _KEY)
-    text = text.withColumn("row", row_answer(q, F.col("page_text"), F.col("page_num"))).withColumn("dated", F.nullif(T.full_date(T.collapsed(F.col("page_text"))), F.lit("")))
-    low = facts.normal_question(q)
-    page_low = F.lower("page_text")
-    phrase = F.lit(False)
-    named = F.lit(False)
-    for mark in SUPPORTED:
-        named = named | F.contains(low, F.lit(mark))
-        phrase = phrase | (F.contains(low, F.lit(mark)) & F.contains(page_low, F.lit(mark)))
-    many = F.size(F.filter(facts.keywords(q), lambda w: F.contains(page_low, w))) >= 2
-    text = text.withColumn("supports", F.when(named, phrase).otherwise(many))
+    supported = supports_question(F.col("page_text"), q)
+    dated = F.when(~T.has_any(F.lower(q), ("approved", "authorised", "authorized", "issue")) | supported, F.nullif(date_near(F.col("page_text"), q), F.lit("")))
+    text = text.withColumns({"row": row_answer(q, F.col("page_text"), F.col("page_num")), "supported": supported, "dated": dated, "counts": supports_number(F.col("page_text"), q)})
+    by = lambda name: F.min_by(name, F.when(F.col(name).isNotNull(), F.col("nth"))).alias(name)
     from_pages = text.groupBy(*_KEY).agg(
-        F.min_by("row", F.when(F.col("row").isNotNull(), F.col("nth"))).alias("row"),
-        F.min_by("dated", F.when(F.col("dated").isNotNull(), F.col("nth"))).alias("dated"),
-        F.array_sort(F.collect_set("page_num")).alias("page_nums"),
-        F.bool_or("supports").alias("supports"),
-        F.min_by("excerpt", F.when(F.col("supports"), F.col("nth"))).alias("excerpt"),
+        by("row"),
+        by("dated"),
+        F.array_sort(F.collect_set(F.when(F.col("supported"), F.col("page_num")))).alias("page_nums"),
+        F.min_by("supported", "nth").alias("first_supported"),
+        F.min_by("counts", "nth").alias("first_counts"),
+        F.min_by("excerpt", "nth").alias("excerpt"),
     )
     rows = questions.join(from_pages, _KEY, "left")
-    rows = rows.join(first(found, value=F.col("value"), unit=F.col("unit"), date=F.col("date"), fact_page=F.col("page_num")), _KEY, "left")
-    rows = rows.join(first(semantic, chunk=F.substring("text", 1, 320)), _KEY, "left").join(first(sections, summary=F.col("summary")), _KEY, "left")
+    rows = rows.join(first(found, metric=F.col("metric"), value=F.col("value"), unit=F.col("unit"), date=F.col("date"), fact_page=F.col("page_num")), _KEY, "left")
+    rows = rows.join(first(semantic, chunk=F.substring("text", 1, 320)), _KEY, "left").join(first(sections, summary=F.substring("summary", 1, 320)), _KEY, "left")
     rows = rows.join(cited.groupBy(*_KEY).agg(F.count("*").alias("n_citations")), _KEY, "left")
     numerical, date, page = search.is_numerical(q, facts.NUMERICAL), search.asks_for_date(q), search.asks_for_pages(q)
     listed = F.array_join(F.transform("page_nums", lambda p: p.cast("string")), ", ")
-    no = lambda what: f"No grounded {what} found in the extracted text for this question."
-    has_hits = F.col("page_nums").isNotNull()
+    no = lambda what: F.lit(f"No grounded {what} found in the extracted text for this question.")
+    has_hits = F.col("excerpt").isNotNull()
     answer = F.coalesce(
         F.col("row"),
-        F.when(numerical & F.col("value").isNotNull(), fact_sentence(q, F.col("value"), F.col("unit"), F.col("date"), F.col("fact_page"))),
-        F.when(has_hits & page, F.when(F.size("page_nums") == 1, F.concat(F.lit("The referenced notes appear on page "), listed, F.lit("."))).otherwise(F.concat(F.lit("The referenced notes appear on pages "), listed, F.lit(".")))),
-        F.when(has_hits & date, F.coalesce(F.concat(F.lit("The financial statements were approved and authorised for issue on "), F.col("dated"), F.lit(".")), F.lit(no("date")))),
-        F.when(has_hits & numerical & ~F.coalesce("supports", F.lit(False)), no("numeric fact")),
-        F.col("excerpt"),
+        F.when(numerical & F.col("value").isNotNull(), fact_sentence(q, F.col("metric"), F.col("value"), F.col("unit"), F.col("date"), F.col("fact_page"))),
+        F.when(page & (F.size("page_nums") > 0), F.concat(F.when(F.size("page_nums") == 1, "The referenced notes appear on page ").otherwise("The referenced notes appear on pages "), listed, F.lit("."))),
+        F.when(has_hits & date, F.coalesce(F.concat(F.lit("The financial statements were approved and authorised for issue on "), F.col("dated"), F.lit(".")), no("date"))),
+        F.when(has_hits & numerical & ~F.col("first_counts"), no("numeric fact")),
+        F.when(F.col("first_supported"), F.col("excerpt")),
         F.when(numerical, no("numeric fact")).when(date, no("date")).when(page, no("page references")),
         F.col("chunk"),
-        F.nullif("summary", F.lit("")),
+        F.col("summary"),
         F.lit("No grounded evidence found."),
     )
     answer = F.when(F.coalesce("n_citations", F.lit(0)) == 0, NOTHING).otherwise(answer)
-    return rows.select(*_KEY, answer.alias("answer"), F.when(answer.startswith("No grounded"), "not_found").otherwise("answered").alias("status"))
+    return rows.select(*_KEY, answer.alias("answer"), F.when(answer.startswith("No grounded"), "not_found").otherwise("grounded").alias("status"))
 
 
 def audited(claims: DataFrame, cited: DataFrame, found: DataFrame) -> DataFrame:

@@ -70,7 +70,7 @@ def extract(ldus: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def normal_question(question: Column) -> Column:
-    low = F.lower(T.strip(question))
+    low = F.lower(question)
     for wrong, right in TYPOS:
         low = F.replace(low, F.lit(wrong), F.lit(right))
     return low
@@ -114,15 +114,15 @@ def score(question: Column, found: Column) -> Column:
     return out
 
 
-def by_question(facts: DataFrame, questions: DataFrame, limit: int = 5, most: int = 10) -> DataFrame:
+def by_question(facts: DataFrame, questions: DataFrame, limit: int = 5) -> DataFrame:
     """Facts of the question's document that contain one of its terms, by score: one for each (page, hash, value).
 
-    Of each term, the newest most facts take part.
+    Of each term, the newest limit facts take part.
     """
     asked = questions.select("question_id", "document_id", "question", F.posexplode(terms(F.col("question"))).alias("term_ord", "term"))
     met = facts.join(asked, "document_id").filter(F.contains(F.lower("metric"), F.col("term")) | F.contains(F.lower("sentence"), F.col("term")))
     newest = Window.partitionBy("question_id", "document_id", "term_ord").orderBy(F.desc("id"))
-    met = met.withColumn("newest", F.row_number().over(newest)).filter(F.col("newest") <= most)
+    met = met.withColumn("newest", F.row_number().over(newest)).filter(F.col("newest") <= limit)
     rows = met.withColumn("score", score(F.col("question"), terms(F.col("question")))).filter("score > 0")
     once = Window.partitionBy("question_id", "document_id", "page_num", "content_hash", "value").orderBy(F.desc("score"), "term_ord", F.desc("id"))
     rows = rows.withColumn("copy", F.row_number().over(once)).filter("copy = 1")
@@ -132,4 +132,4 @@ def by_question(facts: DataFrame, questions: DataFrame, limit: int = 5, most: in
 
 def is_close(a: Column, b: Column, share: float = 0.03) -> Column:
     """Whether a lies within a share of b."""
-    return F.abs(a - b) / F.greatest(F.abs(b), F.lit(1e-9)) <= share
+    return F.when(b == 0, F.abs(a - b) < 1e-9).otherwise(F.abs(a - b) / F.abs(b) <= share)

@@ -41,14 +41,16 @@ def _norms(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
     return counts.groupBy(*keys).agg(F.sum(F.col("n") * F.col("n")).alias(name))
 
 
-def top_sections(sections: DataFrame, questions: DataFrame, k: int = 3) -> DataFrame:
+def top_sections(sections: DataFrame, questions: DataFrame, k: int = 3, hashed: bool = False) -> DataFrame:
     """The k sections of the question's document by cosine with the question; of equals the first in order. Zero scores are returned too.
 
+    hashed: by hashed vectors, as chunks are searched, not by words.
+
     sections: (document_id, section_id, place, body).
     """
     pairs = sections.select("document_id", "section_id", "place").join(questions.select("document_id", "question_id"), "document_id")
-    mine = counted(sections, ["document_id", "section_id"], F.col("body"))
-    asked = counted(questions, ["document_id", "question_id"], F.col("question")).withColumnRenamed("n", "q")
+    mine = counted(sections, ["document_id", "section_id"], F.col("body"), hashed=hashed)
+    asked = counted(questions, ["document_id", "question_id"], F.col("question"), hashed=hashed).withColumnRenamed("n", "q")
     dots = mine.join(asked, ["document_id", "term"]).groupBy("document_id", "section_id", "question_id").agg(F.sum(F.col("n") * F.col("q")).alias("dot"))
     sized = _norms(mine, ["document_id", "section_id"], "a")
     weighed = _norms(asked.withColumnRenamed("q", "n"), ["document_id", "question_id"], "b")
@@ -70,6 +72,15 @@ def _dense(held: pa.Array) -> np.ndarray:
     return counts
 
 
+def _best(q: np.ndarray, c: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k best rows of each question, of equals the smallest ids."""
+    order = np.lexsort((c, -s, q))
+    q, c, s = q[order], c[order], s[order]
+    first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
+    nth = np.arange(len(q)) - np.repeat(first, np.diff([*first, len(q)]))
+    return q[nth < k], c[nth < k], s[nth < k]
+
+
 def hashed_search(chunks: DataFrame, questions: DataFrame, k: int = 3, block: int = 4096) -> DataFrame:
     """The k chunks (chunk_id, text) of all by hashed cosine with each question (question_id, question); of equals the smallest chunk_id.
 
@@ -83,14 +94,6 @@ def hashed_search(chunks: DataFrame, questions: DataFrame, k: int = 3, block: in
     schema = pa.schema([("question_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())])
     sent = asked.sparkSession.sparkContext.broadcast
 
-    def best(q: np.ndarray, c: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The k best rows of each question."""
-        order = np.lexsort((c, -s, q))
-        q, c, s = q[order], c[order], s[order]
-        first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
-        nth = np.arange(len(q)) - np.repeat(first, np.diff([*first, len(q)]))
-        return q[nth < k], c[nth < k], s[nth < k]
-
     def searched(ids: np.ndarray, counts: np.ndarray) -> DataFrame:
         held = sent((ids, counts))
 
@@ -105,7 +108,7 @@ def hashed_search(chunks: DataFrame, questions: DataFrame, k: int = 3, block: in
                     scores = mine @ asked.T / np.sqrt((mine * mine).sum(axis=1)[:, None] * b[None, :])
                     least = np.partition(scores, -k, axis=0)[-k] if len(scores) > k else np.zeros(len(ids))
                     c, q = np.nonzero((scores > 0) & (scores >= least))
-                    top = best(*(np.concatenate(x) for x in zip(top, (ids[q], chunk[c], scores[c, q]), strict=True)))
+                    top = _best(*(np.concatenate(x) for x in zip(top, (ids[q], chunk[c], scores[c, q]), strict=True)), k)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in top], schema=schema)
 
         return rows.mapInArrow(run, "question_id long, chunk_id long, score double")
@@ -124,11 +127,48 @@ def hashed_search(chunks: DataFrame, questions: DataFrame, k: int = 3, block: in
     return found.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k).select("question_id", "chunk_id", "nth", "score")
 
 
-def vector_topk(vectors: DataFrame, query: list[float], k: int = 3) -> DataFrame:
-    """The k rows of (vec_id, embedding) of the greatest dot product with one query vector; null products are out."""
-    asked = F.array(*[F.lit(float(x)) for x in query])
-    dot = F.aggregate(F.zip_with(F.col("embedding"), asked, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
-    return vectors.select("vec_id", dot.alias("score")).filter("score IS NOT NULL").orderBy(F.desc("score"), "vec_id").limit(k)
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 3, block: int = 1024) -> DataFrame:
+    """The k rows of vectors (vec_id, embedding) of the greatest dot product with each query (query_id, embedding).
+
+    Queries are a stated set: blocks of them go to the tasks, each block is one pass in
+    which a batch is one product of matrices, and a task sends on k rows for each query.
+    Products count to nine decimals; of equals the smallest vec_id comes first. Vectors
+    without an id, null, of another length than the query's or with a component that is
+    null or not finite take no part, and neither do such queries.
+    """
+    doubles = F.col("embedding").cast("array<double>")
+    fine = F.col("embedding").isNotNull() & ~F.exists(doubles, lambda x: x.isNull() | F.isnan(x) | x.isin(float("inf"), float("-inf")))
+    rows = vectors.filter(fine).select(F.col("vec_id").cast("long").alias("vec_id"), doubles.alias("v")).filter("vec_id IS NOT NULL AND size(v) > 0")
+    asked = queries.filter(fine).select(F.col("query_id").cast("long").alias("query_id"), doubles.alias("v")).filter("query_id IS NOT NULL AND size(v) > 0")
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def searched(held: list) -> DataFrame:
+        wide = len(held[0].v)
+        sent = vectors.sparkSession.sparkContext.broadcast((np.array([h.query_id for h in held], np.int64), np.array([h.v for h in held])))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = sent.value
+            top = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1000):
+                    part = batch.slice(at, 1000)
+                    scores = np.round(np.array(part.column(1).flatten()).reshape(part.num_rows, wide) @ q.T, 9)
+                    least = np.partition(scores, -k, axis=0)[-k] if len(scores) > k else np.full(len(ids), -np.inf)
+                    v, n = np.nonzero(scores >= least)
+                    top = _best(*(np.concatenate(x) for x in zip(top, (ids[n], part.column(0).to_numpy()[v], scores[v, n]), strict=True)), k)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in top], schema=schema)
+
+        return rows.filter(F.size("v") == wide).select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score double")
+
+    found = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+    waiting: list = []
+    for row in [*asked.orderBy(F.size("v"), "query_id").toLocalIterator(), None]:
+        if waiting and (row is None or len(waiting) >= block or len(row.v) != len(waiting[0].v)):
+            found, waiting = found.union(searched(waiting)), []
+        if row is not None:
+            waiting.append(row)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k).select("query_id", "vec_id", "nth", "score")
 
 
 def is_numerical(question: Column, marks: tuple[str, ...]) -> Column:
@@ -136,13 +176,13 @@ def is_numerical(question: Column, marks: tuple[str, ...]) -> Column:
 
 
 def asks_for_date(question: Column) -> Column:
-    low = normal_question(question)
-    return T.has_any(low, ("when", "date"))
+    """A question that names a date, or begins with when."""
+    low = F.lower(question)
+    return low.contains("date") | low.startswith("when ")
 
 
 def asks_for_pages(question: Column) -> Column:
-    low = normal_question(question)
-    return low.contains("page")
+    return T.has_any(F.lower(question), ("which page", "what page"))
 
 
 def page_score(question: Column, page: Column, asked: Column) -> Column:
@@ -160,7 +200,7 @@ def page_search(pages: DataFrame, questions: DataFrame, limit: int = 3) -> DataF
     rows = met.withColumn("score", page_score(F.col("question"), F.lower(F.coalesce("text", F.lit(""))), F.col("asked"))).filter("score > 0")
     best = Window.partitionBy("question_id", "document_id").orderBy(F.desc("score"), "page_num")
     rows = rows.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= limit)
-    return rows.select("question_id", "document_id", "page_num", "nth", "score", T.excerpt(F.col("text"), F.col("asked")).alias("excerpt"))
+    return rows.select("question_id", "document_id", "page_num", "nth", "score", F.sha2("text", 256).alias("content_hash"), T.excerpt(F.col("text"), F.col("asked")).alias("excerpt"))
 
 
 def precision_at_k(predicted: Column, relevant: Column, k: int = 3) -> Column:

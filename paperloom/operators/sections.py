@@ -54,7 +54,7 @@ def sections(ldus: DataFrame) -> DataFrame:
 
 def promoted(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(titles, rest): the title of each document (its first section's, if that names the document), and the sections without it."""
-    first = (F.col("section_ord") == 1) & T.names_document(F.col("title"), F.col("document_id"))
+    first = (F.col("section_ord") <= 1) & T.names_document(F.col("title"), F.col("document_id"))
     titles = found.filter(first).select("document_id", F.col("title").alias("document_title"))
     return titles, found.filter(~first)
 
@@ -91,20 +91,35 @@ def grouped(found: DataFrame) -> DataFrame:
 
 
 def tree(ldus: DataFrame) -> DataFrame:
-    """The section tree of ldus: promotion, then grouping."""
-    return grouped(promoted(sections(ldus))[1])
+    """The section tree of ldus: promotion, then grouping, under a root of depth 0 for each document.
+
+    The root's title is the promoted one, or the document's id in words; it holds the
+    chunks before the first title, or all of a document without titles.
+    """
+    titles, rest = promoted(sections(ldus))
+    rows = placed(ldus)
+    before = F.col("untitled") | (F.col("section_ord") == 0)
+    roots = rows.groupBy("document_id").agg(
+        F.array_sort(F.array_distinct(F.collect_list(F.when(before, F.col("page_num"))))).alias("page_refs"),
+        F.transform(F.array_sort(F.collect_list(F.when(before, F.struct("position", "ldu_id")))), lambda x: x["ldu_id"]).alias("ldu_ids"),
+    )
+    root_id = F.concat("document_id", F.lit("_root"))
+    named = F.coalesce("document_title", F.nullif(T.human_id(F.col("document_id")), F.lit("")), F.lit("Document"))
+    roots = roots.join(titles, "document_id", "left").select("document_id", F.lit(0).alias("ord"), F.lit(0).alias("section_ord"), F.lit(0).alias("depth"), root_id.alias("section_id"), F.lit(None).cast("string").alias("parent_id"), named.alias("title"), "page_refs", "ldu_ids", F.lit("").alias("summary"))
+    under = grouped(rest).withColumn("parent_id", F.coalesce("parent_id", root_id))
+    return roots.unionByName(under)
 
 
 def flattened(nodes: DataFrame) -> DataFrame:
-    """The tree in pre-order: a document's sections with their place (from 0)."""
-    order = Window.partitionBy("document_id").orderBy("ord", "depth", "section_ord")
+    """The tree in pre-order: a document's root and sections with their place (from 0)."""
+    order = Window.partitionBy("document_id").orderBy(F.col("depth") > 0, "ord", "depth", "section_ord")
     return nodes.withColumn("place", F.row_number().over(order) - 1)
 
 
 def outline(nodes: DataFrame) -> DataFrame:
-    """(document_id, outline): indented titles, a line each."""
+    """(document_id, outline): indented titles of the sections, a line each."""
     lines = F.array_sort(F.collect_list(F.struct("place", F.concat(F.repeat(F.lit("  "), F.col("depth") - 1), F.lit("- "), F.col("title")).alias("line"))))
-    return flattened(nodes).groupBy("document_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("outline"))
+    return flattened(nodes).filter("depth > 0").groupBy("document_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("outline"))
 
 
 def page_sections(ldus: DataFrame) -> DataFrame:

@@ -87,9 +87,13 @@ def document_metrics(signals: DataFrame, columns: Column | None = None, fonts: C
         F.count_if("table_hit").alias("table_count"),
         (F.count_if("is_searchable") >= F.greatest(F.lit(1), F.floor(F.count("*") / 2))).alias("is_searchable"),
         F.count_if(scanned).alias("scanned_pages"),
+        F.count_if((F.col("chars") >= 50) & (F.col("chars") < 200) & F.col("is_searchable")).alias("short_pages"),
         F.bool_or("has_watermarks").alias("has_watermarks"),
         F.bool_or("has_signatures").alias("has_signatures"),
     )
+    # of a document that is mostly scanned, pages of little text count as scanned too
+    mostly = F.col("scanned_pages") / F.col("total_pages") > 0.8
+    rows = rows.withColumn("scanned_pages", F.col("scanned_pages") + F.when(mostly, F.col("short_pages")).otherwise(0)).drop("short_pages")
     return rows.withColumns({"column_count": F.lit(1) if columns is None else columns, "has_fonts": (F.col("total_chars") > 0) if fonts is None else fonts})
 
 
@@ -97,7 +101,7 @@ def origin_type(denominator: Column | None = None) -> Column:
     """native_digital, scanned_image or mixed, from the columns of document_metrics."""
     ratio = F.col("scanned_pages") / F.greatest(F.lit(1), denominator if denominator is not None else F.col("total_pages"))
     native = (F.col("scanned_pages") == 0) & (F.col("image_area_ratio") < 0.35) & F.col("has_fonts") & (F.col("avg_chars_per_page") > 300)
-    scanned = (ratio >= 1) | ((F.col("image_area_ratio") > 0.7) & (F.col("avg_chars_per_page") < 120) & ~F.col("has_fonts"))
+    scanned = (ratio == 1) | ((F.col("image_area_ratio") > 0.7) & (F.col("avg_chars_per_page") < 120) & ~F.col("has_fonts"))
     return F.when(native, "native_digital").when(scanned, "scanned_image").otherwise("mixed")
 
 
@@ -132,8 +136,18 @@ def domain_guess(low: Column, domains: Mapping[str, Sequence[str]] = DOMAINS) ->
     return name, F.when(most > 0, F.least(most / 3.0, F.lit(1.0))).otherwise(0.5)
 
 
-def category(rules: Sequence[Rule] = RULES) -> tuple[Column, Column, Column]:
-    """(category, confidence, strategy) from metrics, origin_type and layout_complexity: guards first, then the best share of met criteria."""
+def share(rule: Rule) -> Column:
+    """The share of a rule's criteria that hold, or -1 under its threshold."""
+    tests = [F.col(m) >= v for m, v in rule.least.items()] + [F.col(m) <= v for m, v in rule.most.items()]
+    out = sum((t.cast("int") for t in tests), F.lit(0)) / max(1, len(tests)) if tests else F.lit(0.0)
+    return F.when(out >= rule.threshold, out).otherwise(F.lit(-1.0))
+
+
+def category(rules: Sequence[Rule] = RULES, shares: Sequence[Column] = ()) -> tuple[Column, Column, Column]:
+    """(category, confidence, strategy) from metrics, origin_type and layout_complexity: guards first, then the best share of met criteria.
+
+    shares: those of the rules, if they are columns already.
+    """
     ratio = F.col("scanned_pages") / F.greatest(F.lit(1), F.col("total_pages"))
     mixed = F.col("origin_type") == "mixed"
     guards = (
@@ -142,21 +156,25 @@ def category(rules: Sequence[Rule] = RULES) -> tuple[Column, Column, Column]:
         (F.col("layout_complexity").isin("multi_column", "table_heavy") & (F.col("origin_type") != "scanned_image"), "moderate_complexity", F.lit(0.8), "layout"),
         (F.col("avg_chars_per_page") < 100, "high_complexity", F.lit(1.0), "vision"),
     )
-    scored = []
-    for rule in rules:
-        tests = [F.col(m) >= v for m, v in rule.least.items()] + [F.col(m) <= v for m, v in rule.most.items()]
-        share = sum((t.cast("int") for t in tests), F.lit(0)) / max(1, len(tests)) if tests else F.lit(0.0)
-        scored.append((rule, F.when(share >= rule.threshold, share).otherwise(F.lit(-1.0))))
+    scored = list(zip(rules, shares or [share(r) for r in rules], strict=True))
     best = F.greatest(*[s for _, s in scored], F.lit(-1.0))
     out = [F.lit("moderate_complexity"), F.lit(0.5), F.lit("layout")]
-    for rule, share in reversed(scored):
-        wins = (share == best) & (best >= 0)
-        out = [F.when(wins, x).otherwise(o) for x, o in zip((F.lit(rule.category), share, F.lit(rule.strategy or "layout")), out, strict=True)]
+    for rule, own in reversed(scored):
+        wins = (own == best) & (best >= 0)
+        out = [F.when(wins, x).otherwise(o) for x, o in zip((F.lit(rule.category), own, F.lit(rule.strategy or "layout")), out, strict=True)]
     for test, name, sure, strategy in reversed(guards):
         out = [F.when(test, x).otherwise(o) for x, o in zip((F.lit(name), sure.cast("double"), F.lit(strategy)), out, strict=True)]
     return out[0], out[1], out[2]
 
 
+def categorised(rows: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """rows with category, category_confidence and strategy; the shares are computed once, which keeps the generated code small."""
+    names = [f"__share{k}" for k in range(len(rules))]
+    name, sure, strategy = category(rules, [F.col(n) for n in names])
+    found = rows.withColumns({n: share(r) for n, r in zip(names, rules, strict=True)})
+    return found.withColumns({"category": name, "category_confidence": sure, "strategy": strategy}).drop(*names)
+
+
 def extraction_cost(strategy: Column) -> Column:
     return F.when(strategy == "fast_text", "fast_text").when(strategy == "vision", "needs_vision_model").otherwise("needs_layout_model")
 
@@ -176,12 +194,25 @@ def first_pages(pages: DataFrame, n: int = 3) -> DataFrame:
     return early.groupBy("document_id").agg(F.lower(F.array_join(texts, " ")).alias("low"))
 
 
-def profiles(pages: DataFrame, rules: Sequence[Rule] = RULES, domains: Mapping[str, Sequence[str]] = DOMAINS) -> DataFrame:
-    """The whole triage of pages: one row per document."""
-    metrics = document_metrics(page_signals(pages))
+def sampled(pages: DataFrame, most: int = SAMPLED) -> DataFrame:
+    """The pages (document_id, page_num from 1, ...) that triage reads, with n_pages, the number of all pages of the document."""
+    totals = pages.groupBy("document_id").agg(F.count("*").alias("n_pages"))
+    return pages.join(totals, "document_id").filter(F.array_contains(page_sample(F.col("n_pages"), most), (F.col("page_num") - 1).cast("int")))
+
+
+def profiles(pages: DataFrame, rules: Sequence[Rule] = RULES, domains: Mapping[str, Sequence[str]] = DOMAINS, most: int = SAMPLED) -> DataFrame:
+    """The whole triage of pages: one row per document, from a sample of most pages of each.
+
+    total_pages counts all pages, and total_chars is the sample's mean times that, rounded down.
+    """
+    read = sampled(pages, most)
+    metrics = document_metrics(page_signals(read.drop("n_pages")))
     rows = metrics.join(first_pages(pages), "document_id", "left").withColumn("low", F.coalesce("low", F.lit("")))
     rows = rows.withColumn("origin_type", origin_type()).withColumn("layout_complexity", layout_complexity())
-    (name, sure, strategy), (text, structure, overall), (lang, lang_sure), (domain, domain_sure) = category(rules), quality_scores(), language_guess(F.col("low")), domain_guess(F.col("low"), domains)
+    rows = categorised(rows, rules)
+    counts = read.groupBy("document_id").agg(F.max("n_pages").alias("n_pages"))
+    rows = rows.join(counts, "document_id").withColumns({"total_pages": F.col("n_pages"), "total_chars": F.floor(F.col("avg_chars_per_page") * F.col("n_pages")).cast("long")})
+    (text, structure, overall), (lang, lang_sure), (domain, domain_sure) = quality_scores(), language_guess(F.col("low")), domain_guess(F.col("low"), domains)
     return rows.select(
         *metrics.columns,
         "origin_type",
@@ -190,10 +221,10 @@ def profiles(pages: DataFrame, rules: Sequence[Rule] = RULES, domains: Mapping[s
         lang_sure.alias("language_confidence"),
         domain.alias("domain_hint"),
         domain_sure.alias("domain_confidence"),
-        name.alias("category"),
-        sure.alias("category_confidence"),
-        strategy.alias("recommended_strategy"),
-        extraction_cost(strategy).alias("extraction_cost"),
+        "category",
+        "category_confidence",
+        F.col("strategy").alias("recommended_strategy"),
+        extraction_cost(F.col("strategy")).alias("extraction_cost"),
         text.alias("text_quality"),
         structure.alias("structure_quality"),
         overall.alias("overall_quality"),

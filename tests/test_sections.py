@@ -23,7 +23,7 @@ def test_document_title_is_promoted(spark):
 def test_known_sections_are_grouped(spark):
     rows = ldus(spark, {"d": ["1. Scope", "2. Balance Sheet", "3. Cash Flow Notes", "Risk Management", "4. End"]})
     got = [(r.depth, r.title, r.parent_id) for r in sections.flattened(sections.tree(rows)).orderBy("place").collect()]
-    assert got == [(1, "1. Scope", None), (1, "Financial Performance", None), (2, "2. Balance Sheet", "d_root_1"), (2, "3. Cash Flow Notes", "d_root_1"), (1, "Risk Management", None), (1, "4. End", None)]
+    assert got == [(0, "d", None), (1, "1. Scope", "d_root"), (1, "Financial Performance", "d_root"), (2, "2. Balance Sheet", "d_root_1"), (2, "3. Cash Flow Notes", "d_root_1"), (1, "Risk Management", "d_root"), (1, "4. End", "d_root")]
     text = sections.outline(sections.tree(rows)).first().outline.split("\n")
     assert text[1:3] == ["- Financial Performance", "  - 2. Balance Sheet"]
 

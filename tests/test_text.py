@@ -45,3 +45,9 @@ def test_first_sentence_and_excerpt(spark):
 def test_document_titles(spark):
     rows = spark.createDataFrame([("Annual Report 2024", "x"), ("cbe annual", "cbe_annual_2024"), ("Scope", "x")], "title string, id string")
     assert [r[0] for r in rows.select(T.names_document(F.col("title"), F.col("id"))).collect()] == [True, True, False]
+
+
+def test_titles_and_months(spark):
+    rows = spark.createDataFrame([("3 Summary", "3rd Sept 2021"), ("Section 2: Risk-Notes", "in May"), ("12.Plan", "4 sep 2020")], "t string, d string")
+    got = rows.select(T.normal_title(F.col("t")), T.month(F.col("d")), T.full_date(F.col("d"))).collect()
+    assert [tuple(r) for r in got] == [("summary", "sept", ""), ("risk notes", "may", ""), ("plan", "sep", "4 sep 2020")]

@@ -77,3 +77,21 @@ def test_columns_and_blocks(spark):
     assert {r.k: r.column_count for r in calibration.column_estimate(rows, "k", "x").collect()} == {"a": 2, "b": 1}
     blocks = spark.createDataFrame([([[1.0, 50.0], [1.0, 100.0], [1.0]],), ([[1.0], [2.0]],)], "lines array<array<double>>")
     assert [r[0] for r in blocks.select(calibration.table_blocks(F.col("lines"))).collect()] == [True, False]
+
+
+def test_pages_of_little_text_in_a_scanned_document_count_as_scanned(spark):
+    """Nine scanned pages and one of 150 characters make a scanned document; with the tenth of 400 it is mixed."""
+    for last, want in (("y" * 150, "scanned_image"), ("y" * 400, "mixed")):
+        pages = spark.createDataFrame([("d", k, "") for k in range(1, 10)] + [("d", 10, last)], "document_id string, page_num int, text string")
+        found = triage.document_metrics(triage.page_signals(pages)).select("scanned_pages", triage.origin_type().alias("origin")).first()
+        assert (found.scanned_pages, found.origin) == (10 if want == "scanned_image" else 9, want)
+
+
+def test_profiles_read_a_sample_of_pages(spark):
+    """Of 20 pages 12 are read: total_pages counts all, total_chars is the sample's mean times that."""
+    pages = spark.createDataFrame([("d", k, "x" * (400 if k <= 3 else 200 + k)) for k in range(1, 21)] + [("e", 1, None)], "document_id string, page_num int, text string")
+    read = sorted(r.page_num for r in triage.sampled(pages).filter("document_id = 'd'").collect())
+    assert len(read) == 12 and read[:3] == [1, 2, 3] and read[-1] == 20
+    got = {r.document_id: r for r in triage.profiles(pages).collect()}
+    mean = sum(400 if k <= 3 else 200 + k for k in read) / 12
+    assert (got["d"].total_pages, got["d"].total_chars) == (20, int(mean * 20)) and (got["e"].total_pages, got["e"].total_chars) == (1, 0)
