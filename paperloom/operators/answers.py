@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import facts, search
+from .sections import sections as sections_of
 
 MOST_CITATIONS = 10
 NOTHING = "No grounded evidence found in the indexed document content."
@@ -188,3 +189,23 @@ def audited(claims: DataFrame, cited: DataFrame, found: DataFrame) -> DataFrame:
     rows = claims.join(counts, _KEY, "left").join(judged, _KEY, "left")
     against = T.first_number(F.col("question")).isNotNull() & (F.col("n_facts") > 0) & ~F.col("agrees")
     return rows.select(*_KEY, F.when(F.coalesce("n", F.lit(0)) == 0, "NOT_FOUND").when(F.coalesce(against, F.lit(False)), "CONTRADICTED").otherwise("VERIFIED").alias("verdict"))
+
+
+def evidence(pages: DataFrame, ldus: DataFrame, questions: DataFrame) -> dict[str, DataFrame]:
+    """What answers are made of, step by step: sections, chunks of the question's own document by hashed vectors, pages, facts, citations.
+
+    pages (document_id, page_num, text), ldus (chunking) and questions (question_id,
+    document_id, question); each is read several times: pass stored or kept tables.
+    """
+    hits = search.page_search(pages, questions)
+    bodies = sections_of(ldus).withColumn("body", F.concat_ws(" ", "title", "summary")).withColumn("place", F.col("section_ord"))
+    near = search.top_sections(bodies, questions).join(bodies.select("document_id", "section_id", "page_refs", "summary"), ["document_id", "section_id"])
+    chunks = ldus.withColumnRenamed("ldu_id", "section_id").withColumn("place", F.col("position")).withColumn("body", F.col("text"))
+    semantic = search.top_sections(chunks, questions, hashed=True).join(ldus.select("document_id", F.col("ldu_id").alias("section_id"), "page_num", "content_hash", "text"), ["document_id", "section_id"])
+    found = facts.by_question(facts.extract(ldus), questions.filter(search.is_numerical(F.col("question"), facts.NUMERICAL)))
+    return {"questions": questions, "pages": pages, "hits": hits, "found": found, "semantic": semantic, "sections": near, "cited": citations(hits, semantic, found, near)}
+
+
+def ask(pages: DataFrame, ldus: DataFrame, questions: DataFrame) -> DataFrame:
+    """The whole flow, navigate, search, look up, compose: (question_id, document_id, answer, status)."""
+    return answers(**evidence(pages, ldus, questions))

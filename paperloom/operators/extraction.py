@@ -79,12 +79,6 @@ def efficiency(seconds: Column) -> Column:
     return F.when(seconds < 30, "high").when(seconds < 60, "medium").otherwise("low")
 
 
-def repaired(pages: DataFrame) -> DataFrame:
-    """Payload repair: missing page numbers count in order, missing texts are empty, confidences lie in 0 to 1."""
-    text = F.coalesce("text", F.lit(""))
-    return pages.withColumns({"text": text, "text_length": F.length(text), "page_num": F.greatest(F.lit(1), F.coalesce("page_num", F.lit(1))), "confidence": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.0))))})
-
-
 def markdown_pages(markdown: Column) -> Column:
     """Pieces before headings that follow a blank line."""
     return F.filter(F.transform(F.split(markdown, r"(?U)\n\s*\n(?=#)"), T.strip), lambda p: p != "")

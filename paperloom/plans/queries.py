@@ -559,17 +559,8 @@ ORACLE["page_search"] = f"WITH {_CONVS}, {_ASKED}, {_PAGES} SELECT question_id,
 def _evidence(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """What answers are made of, for QUESTIONS asked of conversations."""
     pages = readers.conversation_pages(table(spark, sf_dir, "conversations")).select("document_id", "page_num", "text")
-    asked = _asked(spark, sf_dir)
     ldus = chunking.page_ldus(pages).persist(StorageLevel.DISK_ONLY)  # read by each kind of evidence
-    hits = search.page_search(pages, asked).persist(StorageLevel.DISK_ONLY)
-    bodies = sections.sections(ldus).withColumn("body", F.concat_ws(" ", "title", "summary")).withColumn("place", F.col("section_ord"))
-    near = search.top_sections(bodies, asked).join(bodies.select("document_id", "section_id", "page_refs", "summary"), ["document_id", "section_id"])
-    # chunks of the question's own document, by hashed vectors
-    chunks = ldus.withColumnRenamed("ldu_id", "section_id").withColumn("place", F.col("position")).withColumn("body", F.col("text"))
-    semantic = search.top_sections(chunks, asked, hashed=True).join(ldus.select("document_id", F.col("ldu_id").alias("section_id"), "page_num", "content_hash", "text"), ["document_id", "section_id"])
-    found = facts.by_question(facts.extract(ldus), asked.filter(search.is_numerical(F.col("question"), facts.NUMERICAL)))
-    cited = answers.citations(hits, semantic, found, near)
-    return {"questions": asked, "pages": pages, "hits": hits, "found": found, "semantic": semantic, "sections": near, "cited": cited}
+    return answers.evidence(pages, ldus, _asked(spark, sf_dir))
 
 
 @query
