@@ -79,6 +79,11 @@ NO_LICENCE = (
     "You may not use this door except in an emergency.",
 )
 
+#: Words that deny what follows them.
+DENIALS = (("not",), ("is", "not"), ("was", "never"), ("never",), ("no", "longer"), ("are", "not"), ("nothing", "here", "is"))
+#: Words of a notice before which a denial stands.
+GRANTING = ("licensed", "released", "permitted", "granted", "dedicated")
+
 _WORD = "[a-z0-9.]*[a-z0-9]"
 
 
@@ -96,7 +101,7 @@ def shingles_of(words: list[str]) -> list[str]:
 
 
 def _examples() -> list[tuple[str, list[str]]]:
-    """Labelled paragraphs: each template, alone, in a sentence, and with a word lost or added; and paragraphs without a licence."""
+    """Labelled paragraphs: each template, alone, in a sentence, and with a word lost or added; denied; and paragraphs without a licence."""
     strange = ("zuon", "thea", "elle", "ing")
     found = []
     for family, texts in [*TEMPLATES.items(), (UNKNOWN, NO_LICENCE)]:
@@ -105,6 +110,13 @@ def _examples() -> list[tuple[str, list[str]]]:
             found += [(family, words), (family, [*strange[:2], *words]), (family, [*words, *strange[2:]])]
             found += [(family, [*words[:k], *words[k + 1 :]]) for k in range(0, len(words), 4) if len(words) > 4]
             found += [(family, [*words[:k], strange[k % 4], *words[k:]]) for k in range(1, len(words), 5)]
+    # a denied notice grants nothing
+    for words in (words_of(t) for texts in TEMPLATES.values() for t in texts):
+        at = next((k for k, w in enumerate(words) if w in GRANTING), None)
+        if at is not None:
+            head = words[: max(0, at - 1)] if at and words[at - 1] in ("is", "are") else words[:at]
+            found += [(UNKNOWN, [*head, *denial, *words[at:]]) for denial in DENIALS]
+            found += [(UNKNOWN, ["is", "it", *words, "or", "not"])]
     # fragments of templates too short to tell, and no words at all
     found += [(UNKNOWN, [w]) for texts in TEMPLATES.values() for t in texts for w in words_of(t)[:: max(1, len(words_of(t)) // 4)]]
     # a changed template may be another family's template, which it then doesn't teach

@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import stored
+from .shared import reused
 
 THRESHOLD = 0.98
 PER_BUCKET = 64
 MISS = 1e-5
 MOST_BITS = 28
-CROWD = 1024
+CROWD = 4096
 SEED = 7
 
 
@@ -120,8 +120,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, crowd: int
     has no links, no component and kept is null. Rows that repeat a vec_id share one
     component, and each of them counts. An empty table gives an empty result.
     """
-    good = stored(usable(vectors), "vectors")
-    nodes = stored(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "nodes")
+    good = reused(usable(vectors))
+    nodes = reused(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
     shapes = {r[0]: r[1] for r in nodes.groupBy("label", F.size("v").alias("d")).count().groupBy("d").agg(F.max("count")).collect()}
     edges = None
     for size, largest in sorted(shapes.items()):
@@ -131,7 +131,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, crowd: int
     ids = vectors.select("vec_id")
     if edges is None:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    edges = stored(edges, "links")
+    edges = reused(edges)
     merged = components(edges, "rep", "root").select(F.col("node").alias("rep"), "component")
     counts = edges.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = nodes.join(counts, "rep", "left").join(merged, "rep", "left")
@@ -153,7 +153,7 @@ def _found(nodes: DataFrame, bits: int, tables: int, threshold: float, crowd: in
                 yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(signs(v, bits, tables).tolist(), schema.field(4).type)], schema=schema)
 
     rows = nodes.select(F.col("label").cast("long").alias("label"), "rep", F.col("n").cast("long").alias("n"), "v")
-    signed = stored(rows.mapInArrow(sign, "label long, rep long, n long, v array<double>, signs array<int>"), "signed")
+    signed = reused(rows.mapInArrow(sign, "label long, rep long, n long, v array<double>, signs array<int>"))
     keyed = signed.select("label", "rep", F.posexplode("signs").alias("table", "bucket"))
     sizes = keyed.groupBy("label", "table", "bucket").agg(F.count("*").alias("met")).filter("met > 1")
     met = keyed.join(sizes, ["label", "table", "bucket"]).withColumn("n_parts", F.ceil(F.col("met") / crowd).cast("int"))

@@ -1,3 +1,4 @@
+import textwrap
 from collections import Counter
 
 from paperloom.llm import licenses as L
@@ -58,3 +59,45 @@ def test_wrapped_notices(spark):
     assert Counter((r.doc_id, r.paragraph, r.family) for r in got) == Counter((k, p, f) for k, (_, _, t) in enumerate(texts) for p, f in L.expected(t))
     for k, (family, at, _) in enumerate(texts):
         assert [(r.paragraph, r.family) for r in got if r.doc_id == k and r.family != L.UNKNOWN] == [(at, family)]
+
+
+#: Notices and sentences that the classifier was not trained on; None: no licence is granted.
+UNSEEN = {
+ "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.", "The project is distributed and licensed under the MIT License, see LICENSE.", "// SPDX-License-Identifier: MIT", "# Copyright (c) 2019 Foo. Licensed under the MIT license."],
+ "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice.", "This module is released under the BSD License.", "Licensed under the 3-clause BSD license (see COPYING)."],
+ "gpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "You should know that this work is licensed under the GNU General Public License, version 3 or later.", "licensed under the GNU GPL v3"],
+ "lgpl": ["This library is free software and is licensed under the GNU Lesser General Public License, version 2.1 or later.", "Licensed under the GNU LGPL v3 only."],
+ "agpl-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3.", "Licensed under the GNU AGPL v3."],
+ "apache-2.0": ["Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at", "This product is licensed under the Apache License, Version 2.0, by the authors.", "SPDX-License-Identifier: Apache-2.0"],
+ "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice appears."],
+ "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one."],
+ "unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy."],
+ "cc-by": ["The article is licensed under a Creative Commons Attribution 4.0 International License.", "Photos licensed under CC BY 4.0."],
+ "cc-by-sa": ["Text is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+ "cc-by-nc": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License, with thanks."],
+ "cc0": ["To the extent possible under law, the person has waived all copyright and related or neighboring rights to this work."],
+ "proprietary": ["Copyright 2021 Foo Inc. All rights reserved.", "Unauthorized copying of this file, via any medium is strictly prohibited."],
+ None: ["This file is not released under the MIT License.", "The code was never licensed under the Apache License, Version 2.0.", "This work is not licensed under the GNU General Public License, version 3.", "Is it released under the BSD License or not?", "It is no longer licensed under CC BY 4.0.",
+        "She renewed her driving license under the new law.", "MIT released a report on public records.", "The general public license office is open.", "We are not licensed under the MIT License.", "Not all rights are reserved here.", "Nothing here is released under the ISC License."],
+}
+
+
+def test_unseen_notices_and_denials():
+    """On one line and wrapped at 72 and 40 columns: precision and recall of families, each at least 0.95."""
+    hit = missed = wrong = 0
+    for family, some in UNSEEN.items():
+        for text in some:
+            for wide in (10_000, 72, 40):
+                got = {f for _, f in L.expected("\n".join(textwrap.wrap(text, wide))) if f != L.UNKNOWN}
+                hit += family in got
+                missed += family is not None and family not in got
+                wrong += len(got - {family})
+    print(f"hit {hit}, missed {missed}, wrong {wrong}")
+    assert hit / (hit + wrong) >= 0.95 and hit / (hit + missed) >= 0.95
+
+
+def test_probabilities_are_calibrated():
+    """Over unseen single lines, the mean probability of what is said lies within 0.15 of how often it is right."""
+    told = [(max(p), L.train().families[int(p.argmax())] == (family or L.UNKNOWN)) for family, some in UNSEEN.items() for text in some for p in [L.train().probabilities(text)]]
+    sure, right = (sum(x) / len(told) for x in zip(*told, strict=True))
+    assert abs(sure - right) <= 0.15, (sure, right)

@@ -50,3 +50,23 @@ def test_odd_vectors(spark):
 def test_nothing(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], KIND)).count() == 0
     check(spark, [(1, None, 1)])
+
+
+def test_recall_on_a_planted_table(spark):
+    """20,000 vectors of two labels, with 2,000 planted pairs close to the threshold: links found against all pairs."""
+    rng = np.random.RandomState(9)
+    base = rng.standard_normal((18_000, 24)).astype(np.float32)
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    near = base[:2000] + (0.195 / np.sqrt(24) * rng.standard_normal((2000, 24))).astype(np.float32)
+    v = np.concatenate([base, near]).astype(np.float32)
+    label = np.concatenate([np.arange(18_000) % 2, np.arange(2000) % 2])
+    w = v.astype(float)
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    want = np.zeros(len(v), int)
+    for s in range(0, len(v), 2000):
+        want[s : s + 2000] = ((w[s : s + 2000] @ w.T >= 0.98) & (label[s : s + 2000, None] == label[None, :])).sum(axis=1) - 1
+    rows = [(k, x, int(y)) for k, (x, y) in enumerate(zip(v.tolist(), label.tolist()))]
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(spark.createDataFrame(rows, KIND)).collect()}
+    found = sum(got.values())
+    print(f"{found} of {want.sum()} link ends found")
+    assert all(got[k] <= n for k, n in enumerate(want.tolist())) and want.sum() > 1000 and found / want.sum() >= 0.99
