@@ -34,6 +34,7 @@ SEED = 42
 BITS = 2
 BLOCKS = 4
 CROWD = 2048
+HOT = 1000
 _HASHED_AT_ONCE = 1 << 16
 
 
@@ -161,11 +162,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     lean(docs.sparkSession)
     prints = reused(fingerprints(docs, doc_id, text))
-    nodes = reused(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    nodes = reused(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     merged = components(links(nodes.filter("rep IS NOT NULL"), crowd=crowd))
-    # kept: the join then reads two plain exchanges, and Spark splits the rows of a hot fingerprint over tasks
-    classes = reused(nodes.join(merged, nodes.rep == merged.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = reused(nodes.join(merged, nodes.rep == merged.node, "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id")))
+    # rows of a hot fingerprint stay where they are: fewer than HOT fingerprints have more than a HOTth of all rows, and those are broadcast
+    share = (nodes.agg(F.sum("n")).first()[0] or 0) / HOT
+    hot, cold = (classes.filter(test).drop("n") for test in (F.col("n") > share, F.col("n") <= share))
+    found = prints.join(F.broadcast(hot), "fp").unionByName(prints.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(cold, "fp"))
+    return found.select("doc_id", "fp", "component_id")
 
 
 def hexed(fp: F.Column) -> F.Column:
