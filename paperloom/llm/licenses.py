@@ -1,7 +1,8 @@
 """Licence scans: a trained paragraph classifier over sparse word n-grams, confirmed by templates.
 
 A paragraph is a line of a text, or a span of consecutive lines over which a notice is
-wrapped (``reach()`` words may lie between the first line and the last). Its words (letters, digits and dots, lower case) give
+wrapped: lines that reach a template's share of shingles together and none alone
+(``reach()`` words may lie between the first line and the last). Its words (letters, digits and dots, lower case) give
 n-grams of one to three words; a multinomial logistic regression over the n-grams of the
 training paragraphs scores each licence family and a class ``unknown``, whose paragraphs
 speak of licences without granting one. The scores are calibrated by one temperature,
@@ -26,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import reused, stored
 
 SURE = 0.5
 SHARED = 0.6
@@ -201,34 +202,60 @@ def reach() -> int:
     return max(len(words_of(t)) for texts in TEMPLATES.values() for t in texts) * 3 // 2
 
 
-def paragraphs(text: Column) -> Column:
-    """array of (nth, lines, words): the lines of text that have a cue, and the spans of lines without a blank one between that have.
+def _lines(text: Column) -> Column:
+    """array of (cue, words): the lines of a text."""
+    return F.transform(F.split(F.lower(text), r"\r?\n"), lambda line: F.struct(_has_cue(line).alias("cue"), F.regexp_extract_all(line, F.lit(f"({_WORD})"), F.lit(1)).alias("words")))
 
-    Of a span's first line only the last reach() words count, and of its last line the
+
+def _hits(held: DataFrame) -> DataFrame:
+    """(row, p, first, last, shingle, template, n): the templates' shingles in the words of held (row, lines), with their place and lines."""
+    words = held.select("row", F.flatten(F.transform("lines", lambda x: x["words"])).alias("w"), F.flatten(F.transform("lines", lambda x, k: F.array_repeat(k, F.size(x["words"])))).alias("at"))
+    places = F.when(F.size("w") >= 3, F.sequence(F.lit(0), F.size("w") - 3)).otherwise(F.array().cast("array<int>"))
+    each = words.select("row", "w", "at", F.explode(places).alias("p"))
+    each = each.select("row", "p", F.col("at")[F.col("p")].alias("first"), F.col("at")[F.col("p") + 2].alias("last"), F.concat_ws(" ", F.col("w")[F.col("p")], F.col("w")[F.col("p") + 1], F.col("w")[F.col("p") + 2]).alias("shingle"))
+    return each.join(_shingles(held.sparkSession).select("shingle", "template", "n"), "shingle")
+
+
+def _spans(held: DataFrame) -> DataFrame:
+    """(row, k, e): lines k to e (from 0) of held (row, lines) over which a notice may be wrapped.
+
+    A span starts in the line in which a shingle of some template starts and ends in one in
+    which one ends, and the template's shingles between reach SHARED. Lines that reach it
+    by themselves are not counted: they are paragraphs of their own. Only texts with such a
+    template, and only its few shingles, come this far.
+    """
+    most = reach()
+    hits = reused(_hits(held))
+    own = hits.filter("first = last").groupBy("row", "template", "first", "n").agg(F.count_distinct("shingle").alias("met"))
+    alone = own.filter(F.col("met") >= SHARED * F.col("n")).select("row", "template", "first", F.col("first").alias("last"))
+    rest = hits.join(alone, ["row", "template", "first", "last"], "left_anti")
+    found = rest.groupBy("row", "template", "n").agg(F.count_distinct("shingle").alias("met"), F.array_sort(F.collect_list(F.struct("p", "first", "last", "shingle"))).alias("all"))
+    found = found.filter(F.col("met") >= SHARED * F.col("n"))
+    within = lambda h: F.filter("all", lambda g: (g["p"] >= h["p"]) & (g["p"] < h["p"] + 3 * most))
+    enough = lambda some, g: F.size(F.array_distinct(F.transform(F.filter(some, lambda x: x["p"] <= g["p"]), lambda x: x["shingle"]))) >= SHARED * F.col("n")
+
+    def from_(h: Column) -> Column:
+        near = within(h)
+        return F.transform(F.filter(near, lambda g: (g["last"] > h["first"]) & enough(near, g)), lambda g: F.struct(h["first"].alias("k"), g["last"].alias("e")))
+
+    return found.select("row", F.explode(F.flatten(F.transform("all", from_))).alias("s")).select("row", "s.k", "s.e").distinct()
+
+
+def paragraphs(held: DataFrame) -> DataFrame:
+    """(row, nth, lines, words) of held (row, lines): the lines that have a cue, and the spans over which a notice may be wrapped.
+
+    A span has no blank line, and under reach() words lie between its first line and its
+    last. Of its first line only the last reach() words count, and of its last line the
     first, as more is no part of a notice that is wrapped there.
     """
-    lines = F.transform(F.split(F.lower(text), r"\r?\n"), lambda line: F.struct(_has_cue(line).alias("cue"), F.regexp_extract_all(line, F.lit(f"({_WORD})"), F.lit(1)).alias("words")))
-    one, most = F.lit(1), reach()
-    near = lambda x, k: F.exists(F.slice(x, k, most + 2), lambda y: y["cue"])
-
-    def spans(x: Column, k: Column) -> Column:
-        """From line k (from 1): it alone, then with more lines."""
-        first = F.element_at(x, k)["words"]
-        last = F.least(k + most + 1, F.size(x))
-        ends = F.filter(
-            F.when(last > k, F.sequence(k + 1, last)).otherwise(F.array().cast("array<int>")),
-            lambda e: ~F.exists(F.slice(x, k, e - k + 1), lambda y: F.size(y["words"]) == 0)
-            & (F.aggregate(F.slice(x, k + 1, e - k - 1), F.lit(0), lambda n, y: n + F.size(y["words"])) < most)
-            & F.exists(F.slice(x, k, e - k + 1), lambda y: y["cue"]),
-        )
-        whole = lambda e: F.concat(
-            F.slice(first, F.greatest(one, F.size(first) - most + 1), most), F.flatten(F.transform(F.slice(x, k + 1, e - k - 1), lambda y: y["words"])), F.slice(F.element_at(x, e)["words"], 1, most)
-        )
-        own = F.filter(F.array(F.struct(k.alias("e"), first.alias("words"))), lambda _: F.element_at(x, k)["cue"])
-        more = F.transform(ends, lambda e: F.struct(e.alias("e"), whole(e).alias("words")))
-        return F.transform(F.concat(own, more), lambda s: F.struct((k - 1).alias("nth"), (s["e"] - k + 1).alias("lines"), s["words"].alias("words")))
-
-    return F.flatten(F.transform(F.filter(F.sequence(one, F.size(lines)), lambda k: near(lines, k)), lambda k: spans(lines, k)))
+    most = reach()
+    single = held.select("row", F.posexplode("lines").alias("nth", "x")).filter("x.cue").select("row", "nth", F.lit(1).alias("lines"), "x.words")
+    rows = held.join(_spans(held), "row").withColumn("x", F.slice("lines", F.col("k") + 1, F.col("e") - F.col("k") + 1))
+    between = F.transform(F.slice("x", F.lit(2), F.size("x") - 2), lambda y: y["words"])
+    fits = ~F.exists("x", lambda y: F.size(y["words"]) == 0) & (F.size(F.flatten(between)) < most)
+    first, last = F.element_at("x", 1)["words"], F.element_at("x", -1)["words"]
+    whole = F.concat(F.slice(first, F.greatest(F.lit(1), F.size(first) - most + 1), F.lit(most)), F.flatten(between), F.slice(last, 1, most))
+    return single.union(rows.filter(fits).select("row", "k", F.size("x"), whole))
 
 
 def _has_cue(lowered: Column) -> Column:
@@ -303,9 +330,10 @@ def scan(docs: DataFrame) -> DataFrame:
     other columns are not read. A very long line is one paragraph, scored over all of its
     distinct n-grams.
     """
-    held = docs.filter(_has_cue(F.lower("text"))).select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    rows = held.select("doc_id", "row", F.explode(paragraphs(F.col("text"))).alias("p"))
-    rows = stored(rows.select("doc_id", "row", F.col("p.nth").alias("paragraph"), F.col("p.lines").alias("lines"), F.md5(F.array_join("p.words", " ")).alias("key"), F.col("p.words").alias("words")), "paragraphs")
+    held = docs.filter(_has_cue(F.lower("text"))).select("doc_id", F.monotonically_increasing_id().alias("row"), _lines(F.col("text")).alias("lines"))
+    held = stored(held, "cued")
+    rows = paragraphs(held.select("row", "lines")).join(held.select("doc_id", "row"), "row")
+    rows = reused(rows.select("doc_id", "row", F.col("nth").alias("paragraph"), "lines", F.md5(F.array_join("words", " ")).alias("key"), "words"))
     lines = rows.groupBy("key").agg(F.first("words").alias("words"))
     found = rows.select("doc_id", "row", "paragraph", "lines", "key").join(scored(lines), "key").drop("key")
     found = found.filter((F.col("lines") == 1) | (F.col("family") != UNKNOWN))
@@ -336,18 +364,22 @@ def expected(text: str | None) -> list[tuple[int, str]]:
         shares = {f: max(len(own & set(t)) / len(set(t)) for t in (shingles_of(words_of(x)) for x in some)) for f, some in TEMPLATES.items()}
         return family if family != UNKNOWN and p.max() >= SURE and shares[family] >= SHARED else UNKNOWN, max(shares.values())
 
-    alone: dict[int, str] = {}
+    alone = {k: judged(words)[0] for k, (_, words) in enumerate(lines) if cue[k]}
+    flat = [(w, k) for k, (_, words) in enumerate(lines) for w in words]
+    places: set[tuple[int, int]] = set()  # first and last lines over which some template's shingles reach SHARED
+    for template in (set(shingles_of(words_of(x))) for some in TEMPLATES.values() for x in some):
+        need = SHARED * len(template)
+        ends = lambda p: (flat[p][1], flat[p + 2][1])
+        hits = [(p, *ends(p), s) for p in range(len(flat) - 2) if (s := " ".join(w for w, _ in flat[p : p + 3])) in template]
+        whole = {k for k in range(len(lines)) if len({s for _, f, e, s in hits if f == e == k}) >= need}
+        hits = [h for h in hits if not (h[1] == h[2] and h[1] in whole)]
+        for p, first, _, _ in hits:
+            places.update((first, e) for q, _, e, _ in hits if p <= q < p + 3 * most and e > first and len({s for r, _, _, s in hits if p <= r <= q}) >= need)
     spans: list[tuple[int, int, str, float]] = []  # first line, line after the last, family, share
-    for k, (_, first) in enumerate(lines):
-        if cue[k]:
-            alone[k] = judged(first)[0]
-        between: list[str] = []
-        for e in range(k + 1, len(lines)):
-            if not first or not lines[e][1] or len(between) >= most:
-                break
-            if any(cue[k : e + 1]):
-                spans.append((k, e + 1, *judged([*first[-most:], *between, *lines[e][1][:most]])))
-            between = [*between, *lines[e][1]]
+    for k, e in sorted(places):
+        between = [w for _, words in lines[k + 1 : e] for w in words]
+        if all(words for _, words in lines[k : e + 1]) and len(between) < most:
+            spans.append((k, e + 1, *judged([*lines[k][1][-most:], *between, *lines[e][1][:most]])))
     stands = {k: f for k, f in alone.items() if f != UNKNOWN}
     spans = [s for s in spans if s[2] != UNKNOWN and s[0] not in stands and s[2] not in [stands.get(k) for k in range(*s[:2])]]
     within = lambda x, y: x[:2] != y[:2] and y[0] <= x[0] and x[1] <= y[1]
