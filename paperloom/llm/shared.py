@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 #: Bytes of an Arrow batch that a Python worker is sent, and the setting that bounds them (its default is 64 MB).
@@ -72,8 +73,13 @@ def discard_all(spark: SparkSession) -> None:
 
 
 def reused(df: DataFrame) -> DataFrame:
-    """df, kept on the executors' disks while several steps read it; what a lost executor held is computed again."""
-    return df.persist(StorageLevel.DISK_ONLY)
+    """df, kept on the executors' disks while several steps read it; what a lost executor held is computed again.
+
+    The plan is made unlike any other, by a test that the optimiser drops: else Spark would
+    answer a later call over the same paths from what an earlier one kept, though the files
+    may have changed. What results still read stays kept until spark.catalog.clearCache().
+    """
+    return df.filter(F.lit(uuid.uuid4().hex) != F.lit("")).persist(StorageLevel.DISK_ONLY)
 
 
 def sweep(spark: SparkSession) -> None:
