@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from .shared import texts
+from .shared import lean, released, texts
 
 MAGIC = b"DAC1"
 RANK_BITS = 512
@@ -245,6 +245,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, segm
     document that fills it, so a very long text makes one long segment. Other columns
     are ignored; an empty table makes an empty one.
     """
+    lean(docs.sparkSession)
     # texts of equal ids are put in order by their hash: comparing whole texts would carry them twice
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
@@ -273,7 +274,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, segm
         if held:
             yield flush()
 
-    rows.mapInArrow(run, SEGMENTS).write.parquet(path)
+    rows.mapInArrow(released(run), SEGMENTS).write.parquet(path)
 
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
@@ -307,4 +308,4 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
                 firsts = [codes[at] for at in ends[:-1].tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, mask=gone, type=pa.int64()), pa.array(ends[:-1] + first), pa.array(np.diff(ends)), pa.array(crcs, pa.int64()), pa.array(firsts, pa.int64())], schema=schema)
 
-    return segments(spark, path).select("doc_ids", "null_ids", "offsets", "codes", "first").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, first_id long")
+    return segments(spark, path).select("doc_ids", "null_ids", "offsets", "codes", "first").mapInArrow(released(run), "doc_id long, start long, n_tokens long, ids_crc32 long, first_id long")

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import lean, reused, texts
+from .shared import lean, released, reused, texts
 
 #: Bounds of the training sample for each language: labelled documents (those of the smallest hashes), and distinct words (the most frequent).
 SAMPLE_DOCS = 1500
@@ -296,7 +296,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
             more = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema)
+    return docs.mapInArrow(released(run), docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema)
 
 
 def held_out() -> F.Column:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, lean, reused, stored, sweep, texts
+from .shared import discard, lean, released, reused, stored, sweep, texts
 
 LENGTH = 200
 TRIGGER = 32
@@ -139,7 +139,7 @@ def phrases(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield out(parts, ids, marks, digests)
 
     rows = docs.select("doc_id", "text", "__h").filter(F.octet_length("text") >= length)
-    return rows.mapInArrow(run, "doc_id long, h long, a long, e1 long, e2 long, at long")
+    return rows.mapInArrow(released(run), "doc_id long, h long, a long, e1 long, e2 long, at long")
 
 
 _ASKED = "a long, open boolean, doc_id long, h long, x long, before int, after int, back binary, ahead binary"
@@ -319,7 +319,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     kept.append(b"".join(text[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(gone, schema.field(2).type), pa.array(kept, pa.binary())], schema=schema)
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, removed array<array<long>>, kept binary")
+    return joined.mapInArrow(released(run), "doc_id long, n_bytes long, removed array<array<long>>, kept binary")
 
 
 def brute_force(some: list[bytes], length: int = LENGTH) -> list[list[tuple[int, int]]]:
