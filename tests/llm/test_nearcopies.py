@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from paperloom.llm import nearcopies
+from paperloom.llm import components, nearcopies
 
 
 def shingles(text):
@@ -78,3 +80,49 @@ def test_stage_over_documents(spark):
     classes = brute([r.text for r in rows])
     kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
     assert kept == [r.doc_id for k, r in enumerate(rows) if classes[k] == k]
+
+
+def test_fingerprint_is_the_majority_of_hashes():
+    some = nearcopies.shingles(" ".join(f"w{k}" for k in range(600)).encode())
+    for n in (0, 1, 2, 7, 596):
+        want, hashes = [0] * nearcopies.WORDS, nearcopies.hashes(some[:n]).tolist()
+        for word in range(nearcopies.WORDS):
+            for bit in (b for b in range(64) if b % 16 < nearcopies.BITS):
+                want[word] |= (2 * sum(h[word] >> bit & 1 for h in hashes) + sum(h[word] >> bit & 1 for h in hashes[:1]) > n) << bit
+        assert nearcopies.fingerprint(some[:n]).tolist() == want
+
+
+def test_near_fingerprints_are_those_of_all_pairs():
+    """Pairs, chains and crowds under one value, however many are compared in one go."""
+    rng = np.random.default_rng(9)
+    met = np.zeros(300, nearcopies._MET)
+    met["fp"], met["value"] = rng.permutation(300) - 150, np.arange(300) % 3
+    for k in range(300):
+        flips = [(w, np.uint64(1 << 16 * rng.integers(4) + int(rng.integers(nearcopies.BITS)))) for w in rng.integers(0, 5, 45)]
+        met["head"][k] = rng.integers(0, 1 << 63, 5, np.uint64) & nearcopies._LIVE if k < 30 else met["head"][k - 30]
+        for w, flip in flips if k >= 30 else []:
+            met["head"][k, w] ^= flip
+    a, b = np.triu_indices(300, 1)
+    near = met["value"][a] == met["value"][b]
+    for words, most in nearcopies.RADII:
+        near &= np.bitwise_count(met["head"][a, :words] ^ met["head"][b, :words]).sum(axis=1, dtype=int) <= most
+    want = [x.tolist() for x in components.forest(met["fp"][a[near]], met["fp"][b[near]])]
+    assert 200 < len(want[0]) < 300
+    crowd, cells = nearcopies.CROWD, nearcopies._CELLS
+    try:
+        for nearcopies.CROWD, nearcopies._CELLS in ((1000, cells), (2, cells), (2, 500), (2, 1)):
+            assert [x.tolist() for x in nearcopies.met_links(met)] == want
+    finally:
+        nearcopies.CROWD, nearcopies._CELLS = crowd, cells
+
+
+def test_candidates_hold_every_link(spark):
+    """Pairs of similarity 0.8 meet under a block within the radius, short texts too; texts that share nothing don't."""
+    rng = np.random.default_rng(4)
+    sets = []
+    for c, a, b in [(4, 0, 1), (8, 1, 1), (12, 1, 2), (40, 5, 5), (160, 20, 20), (400, 0, 100)] * 20:
+        own = rng.integers(0, 1 << 63, c + a + b, np.uint64)
+        sets += [np.sort(x) for x in (own[: c + a], np.concatenate([own[:c], own[c + a :]]))]
+    nodes = spark.createDataFrame([(k, nearcopies.fingerprint(s).tobytes()) for k, s in enumerate(sets)], "fp long, bits binary")
+    got = {r.node: r.component for r in components.components(nearcopies._near(nodes)).collect()}
+    assert got == {k + 1: k for k in range(0, len(sets), 2)}
