@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use names it: Spark repeats an expression at each of its places."""
+    return F.transform(F.array(value), lambda x: use(x))[0]
+
+
 def strip(text: Column) -> Column:
     """White space of any script off both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

@@ -124,15 +124,18 @@ def spaced_table(text: Column) -> Column:
 
 
 def clean_header(name: Column) -> Column:
-    clean = F.regexp_replace(F.regexp_replace(T.strip(F.lower(F.coalesce(name, F.lit("")))), r"[^a-z0-9]+", "_"), "^_+|_+$", "")
-    return F.when(clean == "", "column").otherwise(clean)
+    clean = F.btrim(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"[^a-z0-9]+", "_"), F.lit("_"))
+    return T.let(clean, lambda c: F.when(c == "", "column").otherwise(c))
 
 
 def numbered_headers(headers: Column) -> Column:
-    """Clean headers of one table: repeats become name_2, name_3."""
-    clean = F.transform(headers, clean_header)
-    nth = lambda h, k: F.size(F.filter(F.slice(clean, F.lit(1), k + 1), lambda x: x == h))
-    return F.transform(clean, lambda h, k: F.when(nth(h, k) > 1, F.concat(h, F.lit("_"), nth(h, k).cast("string"))).otherwise(h))
+    """Clean headers of one table: repeats become name_2, name_3. Each is cleaned and counted once."""
+
+    def numbered(clean: Column) -> Column:
+        nth = lambda h, k: F.size(F.filter(F.slice(clean, F.lit(1), k + 1), lambda x: x == h))
+        return F.transform(clean, lambda h, k: T.let(nth(h, k), lambda n: F.when(n > 1, F.concat(h, F.lit("_"), n.cast("string"))).otherwise(h)))
+
+    return T.let(F.transform(headers, clean_header), numbered)
 
 
 def row_map(headers: Column, row: Column) -> Column:

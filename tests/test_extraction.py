@@ -56,3 +56,11 @@ def test_records(spark):
     assert [(r.confidence, r.processing_time, r.efficiency, r.cost) for r in records.ledger(runs).orderBy("document_id").collect()] == [(0.654, 29.99, "high", 0.0), (0.5, 60.0, "low", 0.0)]
     last = records.latest(spark.createDataFrame([("d", 1, "a"), ("d", 2, "b")], "k string, n int, v string"), "k", [F.col("n")])
     assert [tuple(r) for r in last.collect()] == [("d", 2, "b")]
+
+
+def test_headers_are_cleaned_once(spark):
+    """A header is cleaned at one place of the plan, not again for each that stands before it."""
+    rows = spark.createDataFrame([([" Net  Profit ", "net-profit", "__", "É", "a_", "NET PROFIT", None],), (None,)], "h array<string>")
+    out = rows.select(extraction.numbered_headers(F.col("h")).alias("h"))
+    assert [r.h for r in out.collect()] == [["net_profit", "net_profit_2", "column", "column_2", "a", "net_profit_3", "column_3"], None]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
