@@ -14,8 +14,9 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """White space of any script off both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """White space of any script off both ends. Most texts have none there: the pattern isn't tried on them."""
+    at_end = lambda t: F.concat(F.substring(t, 1, 1), F.substring(t, -1, 1)).rlike(r"(?U)\s")
+    return let(text, lambda t: F.when(at_end(t), F.regexp_replace(t, r"(?U)^\s+|\s+$", "")).otherwise(t))
 
 
 def collapsed(text: Column) -> Column:
@@ -97,8 +98,8 @@ def date_hint(sentence: Column) -> Column:
 def full_date(text: Column) -> Column:
     """The first `d Month yyyy` with the month in full, else the first with it in short; empty where there is none."""
     full, short = "|".join(MONTHS), "|".join(SHORT_MONTHS)
-    first = F.regexp_extract(text, rf"(?iU)\b(\d{{1,2}}\s+(?:{full})\s+\d{{4}})\b", 1)
-    return F.when(first != "", first).otherwise(F.regexp_extract(text, rf"(?iU)\b(\d{{1,2}}\s+(?:{short})\s+\d{{4}})\b", 1))
+    long_first = let(F.regexp_extract(text, rf"(?iU)\b(\d{{1,2}}\s+(?:{full})\s+\d{{4}})\b", 1), lambda first: F.when(first != "", first).otherwise(F.regexp_extract(text, rf"(?iU)\b(\d{{1,2}}\s+(?:{short})\s+\d{{4}})\b", 1)))
+    return F.when(text.rlike(r"(?U)\d"), long_first).otherwise(F.when(text.isNotNull(), ""))  # most texts have no digit: the dear patterns aren't tried on them
 
 
 def first_sentence(text: Column) -> Column:
@@ -114,12 +115,11 @@ def summary(text: Column, most: int = 220) -> Column:
     return F.substring(collapsed(text), 1, most)
 
 
-def excerpt(text: Column, keywords: Column, before: int = 60, size: int = 320) -> Column:
-    """size characters of the collapsed text, from a little before its first keyword."""
-    flat = collapsed(text)
-    places = F.filter(F.transform(keywords, lambda k: F.instr(F.lower(flat), k)), lambda p: p > 0)
-    start = F.greatest(F.lit(1), F.coalesce(F.array_min(places), F.lit(1)) - before)
-    return F.substring(flat, start, F.lit(size))
+def excerpt(text: Column, keywords: Column, before: int = 60, size: int = 320, flat: bool = False) -> Column:
+    """size characters of the collapsed text, from a little before its first keyword. flat: text is collapsed already."""
+    places = lambda t: let(F.lower(t), lambda low: F.filter(F.transform(keywords, lambda k: F.instr(low, k)), lambda p: p > 0))
+    start = lambda t: F.greatest(F.lit(1), F.coalesce(F.array_min(places(t)), F.lit(1)) - before)
+    return let(text if flat else collapsed(text), lambda t: F.substring(t, start(t), F.lit(size)))
 
 
 #: HTML entities in titles.
@@ -128,17 +128,22 @@ ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x
 
 def title(text: Column) -> Column:
     """The section title that a chunk opens with, or null."""
-    line = F.element_at(F.split(strip(text), r"\n"), 1)
+    line = F.substring_index(strip(text), "\n", 1)
     for entity, plain in ENTITIES:
         line = F.replace(line, F.lit(entity), F.lit(plain))
-    line = F.regexp_replace(strip(F.regexp_replace(strip(line), r"^#+", "")), r"(?U)^[-*]\s+", "")
-    line = F.regexp_replace(collapsed(line), r"^[ :\-]+|[ :\-]+$", "")
-    count = F.size(words(line))
-    capital = F.size(F.filter(words(line), lambda w: F.substring(w, 1, 1).rlike(r"\p{Lu}")))
-    shouted = line.rlike("[A-Za-z]") & (F.upper(line) == line)
-    titled = (capital >= 0.7 * count) & (F.length(line) <= 110)
-    named = line.rlike(r"(?U)^\d+(?:[.:)\-]|\s)") | F.lower(line).rlike(r"(?U)^(?:chapter|section|appendix|glossary)\b") | (count.between(2, 14) & (shouted | titled))
-    return F.when((line != "") & ~F.lower(line).isin("content", "statistical bulletin") & named, F.substring(line, 1, 120))
+    line = F.regexp_replace(strip(F.ltrim(strip(line), F.lit("#"))), r"(?U)^[-*]\s+", "")
+    line = F.btrim(collapsed(line), F.lit(" :-"))
+    shouted = lambda line: (F.upper(line) == line) & line.rlike("[A-Za-z]")
+
+    def short(line: Column, own: Column) -> Column:
+        capital = F.size(F.filter(own, lambda w: F.substring(w, 1, 1).rlike(r"\p{Lu}")))
+        return F.size(own).between(2, 14) & (shouted(line) | (capital >= 0.7 * F.size(own)) & (F.length(line) <= 110))
+
+    def opening(line: Column) -> Column:
+        named = line.rlike(r"(?U)^\d+(?:[.:)\-]|\s)") | F.lower(line).rlike(r"(?U)^(?:chapter|section|appendix|glossary)\b") | F.when((F.length(line) <= 110) | shouted(line), let(words(line), lambda own: short(line, own))).otherwise(False)
+        return F.when((line != "") & ~F.lower(line).isin("content", "statistical bulletin") & named, F.substring(line, 1, 120))
+
+    return let(line, opening)
 
 
 def normal_title(text: Column) -> Column:

@@ -30,25 +30,30 @@ def citations(pages: DataFrame, semantic: DataFrame, found: DataFrame, sections:
     refs = sections.select(*_KEY, "nth", "section_id", "summary", F.posexplode(F.slice("page_refs", 1, 2)).alias("p", "page_num"))
     four = refs.select(*_KEY, F.lit("section").alias("source"), F.lit(3).alias("rank"), (F.col("nth") * 2 + F.col("p")).alias("ord"), "page_num", F.sha2(F.concat("section_id", F.lit("|"), F.col("page_num").cast("string")), 256).alias("content_hash"), F.col("summary").alias("excerpt"))
     every = one.select(cols).unionByName(two.select(cols)).unionByName(three.select(cols)).unionByName(four.select(cols))
+    every = every.repartition(*_KEY)  # once, for both orders
     first = Window.partitionBy(*_KEY, "page_num", "content_hash").orderBy("rank", "ord")
     kept = every.withColumn("copy", F.row_number().over(first)).filter("copy = 1")
     order = Window.partitionBy(*_KEY).orderBy("rank", "ord", "page_num")
     return kept.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= limit).select(*_KEY, "nth", "source", "page_num", "content_hash", "excerpt")
 
 
+def claim_words(text: Column) -> Column:
+    """Words of over three characters, each once."""
+    return F.array_distinct(F.filter(T.tokens(text), lambda w: F.length(w) > 3))
+
+
 def overlap(claim: Column, excerpt: Column) -> Column:
-    """Whether enough words of over three characters of the claim are in the excerpt."""
-    words = lambda t: F.array_distinct(F.filter(T.tokens(t), lambda w: F.length(w) > 3))
-    mine = words(claim)
-    return F.size(F.array_intersect(mine, words(excerpt))) >= F.greatest(F.lit(1), F.least(F.lit(4), F.floor(F.size(mine) / 4)))
+    """Whether enough of the claim's words (claim_words) are among the excerpt's."""
+    return F.size(F.array_intersect(claim, excerpt)) >= F.greatest(F.lit(1), F.least(F.lit(4), F.floor(F.size(claim) / 4)))
 
 
 def verified(cited: DataFrame, questions: DataFrame, pages: DataFrame) -> DataFrame:
     """cited with status, from the cited page's whole text, or the citation's excerpt where the page is missing or blank. None is dropped."""
-    rows = cited.join(questions.select(*_KEY, "question"), _KEY).join(pages.select("document_id", "page_num", F.col("text").alias("page_text")), ["document_id", "page_num"], "left")
-    seen = F.when(T.strip(F.coalesce("page_text", F.lit(""))) != "", F.col("page_text")).otherwise(F.coalesce("excerpt", F.lit("")))
-    supports = F.coalesce(overlap(F.col("question"), seen), F.lit(False))
-    return rows.withColumn("status", F.when(supports, "supports_claim").otherwise("weak_support")).drop("page_text", "question")
+    # a page's words are found once, not for each citation of it
+    seen = pages.select("document_id", "page_num", F.when(T.strip(F.coalesce("text", F.lit(""))) != "", claim_words(F.col("text"))).alias("page_words"))
+    rows = cited.join(questions.select(*_KEY, claim_words(F.col("question")).alias("claim")), _KEY).join(seen, ["document_id", "page_num"], "left")
+    supports = overlap(F.col("claim"), F.coalesce("page_words", claim_words(F.coalesce("excerpt", F.lit("")))))
+    return rows.withColumn("status", F.when(F.coalesce(supports, F.lit(False)), "supports_claim").otherwise("weak_support")).drop("page_words", "claim")
 
 
 #: What a fact is called in an answer, by the first of these that the question has.
@@ -73,12 +78,19 @@ _CELL = r"(?:\d{1,3}(?:,\d{3})*|\d+)"
 
 def row_answer(question: Column, page_text: Column, page: Column) -> Column:
     """The answer that a financial row of the page gives, or null: the year's cell of a year table, else the first grouped number after its label."""
-    low, flat = facts.normal_question(question), T.collapsed(page_text)
-    flat_low = F.lower(flat)
-    asked, dated = T.year(question), T.full_date(low)
     has = lambda text, mark: F.contains(text, F.lit(mark))
-    assets = has(low, "assets") & has(low, "total")
-    target = F.when(assets, "total assets").when(has(low, "net profit"), "net profit").when(has(low, "revenue"), REVENUE)
+
+    def by_target(low: Column) -> Column:
+        target = F.when(has(low, "assets") & has(low, "total"), "total assets").when(has(low, "net profit"), "net profit").when(has(low, "revenue"), REVENUE)
+        asking = F.struct(target.alias("target"), T.year(question).alias("asked"), T.full_date(low).alias("dated"))
+        # of a question without a target no row is sought
+        return T.let(target, lambda t: F.when(t.isNotNull(), T.let(asking, lambda a: T.let(T.collapsed(page_text), lambda flat: _row_of(a["target"], a["asked"], a["dated"], flat, F.lower(flat), page)))))
+
+    return T.let(facts.normal_question(question), by_target)
+
+
+def _row_of(target: Column, asked: Column, dated: Column, flat: Column, flat_low: Column, page: Column) -> Column:
+    has = lambda text, mark: F.contains(text, F.lit(mark))
     # year, revenue, cost and profit of each row of a year table
     rows = F.regexp_extract_all(flat, F.lit(rf"\b(20\d\d\s+{_CELL}\s+{_CELL}\s+{_CELL})\b"), F.lit(1))
     row = F.split(F.try_element_at(F.filter(rows, lambda r: F.substring(r, 1, 4) == asked), F.lit(1)), r"\s+")
@@ -125,25 +137,31 @@ def date_near(text: Column, question: Column, radius: int = 140) -> Column:
     """
     first = ("approved", "authorised", "authorized", "issue")
     anchors = F.concat(F.array(*map(F.lit, first)), F.filter(facts.keywords(question), lambda w: ~w.isin(*first)))
-    places = F.filter(F.transform(anchors, lambda w: F.instr(F.lower(text), w)), lambda p: p > 0)
-    at = F.try_element_at(places, F.lit(1)) - 1
-    start = F.greatest(F.lit(0), at - radius)
-    scoped = T.full_date(F.coalesce(F.substring(text, start + 1, at + radius - start), text))
-    return F.when(scoped != "", scoped).otherwise(T.full_date(text))
+    places = T.let(F.lower(text), lambda low: F.filter(F.transform(anchors, lambda w: F.instr(low, w)), lambda p: p > 0))
+
+    def near(at: Column) -> Column:
+        start = F.greatest(F.lit(0), at - radius)
+        return T.full_date(F.coalesce(F.substring(text, start + 1, at + radius - start), text))
+
+    scoped = T.let(F.try_element_at(places, F.lit(1)) - 1, near)
+    return T.let(scoped, lambda found: F.when(found != "", found).otherwise(T.full_date(text)))
 
 
 def answers(questions: DataFrame, pages: DataFrame, hits: DataFrame, found: DataFrame, semantic: DataFrame, sections: DataFrame, cited: DataFrame) -> DataFrame:
     """(question_id, document_id, answer, status): the first rung of the ladder that holds; status is grounded or not_found.
 
+    hits: of search.page_search, with the pages' texts. cited: whichever questions have a citation, any number of rows for each.
+
     Financial row; fact (of numerical questions); supported pages; date; refusal of an
     unsupported number; excerpt of a supported first page; other refusals; first semantic
     hit; first section. A question without citations finds nothing.
     """
     q = F.col("question")
     first = lambda rows, **cols: rows.filter("nth = 1").select(*_KEY, *[c.alias(n) for n, c in cols.items()])
-    text = hits.join(pages.select("document_id", "page_num", F.col("text").alias("page_text")), ["document_id", "page_num"]).join(questions.select(*_KEY, "question"), _KEY)
+    text = hits.join(questions.select(*_KEY, "question"), _KEY)
     supported = supports_question(F.col("page_text"), q)
-    dated = F.when(~T.has_any(F.lower(q), ("approved", "authorised", "authorized", "issue")) | supported, F.nullif(date_near(F.col("page_text"), q), F.lit("")))
+    # dates are read by questions for one only
+    dated = F.when(search.asks_for_date(q) & (~T.has_any(F.lower(q), ("approved", "authorised", "authorized", "issue")) | supported), T.let(date_near(F.col("page_text"), q), lambda d: F.when(d != "", d)))
     text = text.withColumns({"row": row_answer(q, F.col("page_text"), F.col("page_num")), "supported": supported, "dated": dated, "counts": supports_number(F.col("page_text"), q)})
     by = lambda name: F.min_by(name, F.when(F.col(name).isNotNull(), F.col("nth"))).alias(name)
     from_pages = text.groupBy(*_KEY).agg(
@@ -157,7 +175,7 @@ def answers(questions: DataFrame, pages: DataFrame, hits: DataFrame, found: Data
     rows = questions.join(from_pages, _KEY, "left")
     rows = rows.join(first(found, metric=F.col("metric"), value=F.col("value"), unit=F.col("unit"), date=F.col("date"), fact_page=F.col("page_num")), _KEY, "left")
     rows = rows.join(first(semantic, chunk=F.substring("text", 1, 320)), _KEY, "left").join(first(sections, summary=F.substring("summary", 1, 320)), _KEY, "left")
-    rows = rows.join(cited.groupBy(*_KEY).agg(F.count("*").alias("n_citations")), _KEY, "left")
+    rows = rows.join(cited.select(*_KEY).distinct().withColumn("n_citations", F.lit(1)), _KEY, "left")
     numerical, date, page = search.is_numerical(q, facts.NUMERICAL), search.asks_for_date(q), search.asks_for_pages(q)
     listed = F.array_join(F.transform("page_nums", lambda p: p.cast("string")), ", ")
     no = lambda what: F.lit(f"No grounded {what} found in the extracted text for this question.")
@@ -199,9 +217,9 @@ def evidence(pages: DataFrame, ldus: DataFrame, questions: DataFrame) -> dict[st
     """
     hits = search.page_search(pages, questions)
     bodies = sections_of(ldus).withColumn("body", F.concat_ws(" ", "title", "summary")).withColumn("place", F.col("section_ord"))
-    near = search.top_sections(bodies, questions).join(bodies.select("document_id", "section_id", "page_refs", "summary"), ["document_id", "section_id"])
+    near = search.top_sections(bodies, questions, keep=("page_refs", "summary"))
     chunks = ldus.withColumnRenamed("ldu_id", "section_id").withColumn("place", F.col("position")).withColumn("body", F.col("text"))
-    semantic = search.top_sections(chunks, questions, hashed=True).join(ldus.select("document_id", F.col("ldu_id").alias("section_id"), "page_num", "content_hash", "text"), ["document_id", "section_id"])
+    semantic = search.top_sections(chunks, questions, hashed=True, keep=("page_num", "content_hash")).join(ldus.select("document_id", F.col("ldu_id").alias("section_id"), "text"), ["document_id", "section_id"])
     found = facts.by_question(facts.extract(ldus), questions.filter(search.is_numerical(F.col("question"), facts.NUMERICAL)))
     return {"questions": questions, "pages": pages, "hits": hits, "found": found, "semantic": semantic, "sections": near, "cited": citations(hits, semantic, found, near)}
 

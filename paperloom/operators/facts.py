@@ -30,17 +30,22 @@ def sentence_facts(sentence: Column, strict: bool = False) -> Column:
     pattern = T.STRICT if strict else T.NUMERIC
     marked = F.regexp_replace(F.replace(sentence, F.lit("\u0001"), F.lit(" ")), pattern, "\u0001$0")
     # piece k (from 1) of the marked sentence begins with number k; what stands before it is the sentence's prefix
-    pieces = F.split(marked, "\u0001")
     values, units = F.regexp_extract_all(sentence, F.lit(pattern), F.lit(1)), F.regexp_extract_all(sentence, F.lit(pattern), F.lit(2))
-    all_words = T.words(sentence)
+    of = F.struct(F.split(marked, "\u0001").alias("pieces"), values.alias("numbers"), units.alias("units"), T.words(sentence).alias("words"), T.date_hint(sentence).alias("date"))
 
-    def fact(value: Column, k: Column) -> Column:
-        before = F.size(T.words(F.array_join(F.slice(pieces, F.lit(1), k + 1), "")))
-        first = F.greatest(F.lit(1), before - 3)
-        metric = F.array_join(F.slice(all_words, first, F.greatest(F.lit(0), before - first + 1)), " ")
-        return F.struct(k.alias("nth"), T.number(value).alias("value"), F.substring(F.element_at(units, k + 1), 1, 20).alias("unit"), F.when(metric == "", "numeric_fact").otherwise(F.substring(metric, 1, 80)).alias("metric"), T.date_hint(sentence).alias("date"))
+    def facts_of(s: Column) -> Column:
+        def metric(before: Column) -> Column:
+            first = F.greatest(F.lit(1), before - 3)
+            return F.array_join(F.slice(s["words"], first, F.greatest(F.lit(0), before - first + 1)), " ")
 
-    return F.transform(values, fact)
+        def fact(value: Column, k: Column) -> Column:
+            before = F.size(T.words(F.array_join(F.slice(s["pieces"], F.lit(1), k + 1), "")))
+            named = T.let(T.let(before, metric), lambda m: F.when(m == "", "numeric_fact").otherwise(F.substring(m, 1, 80)))
+            return F.struct(k.alias("nth"), T.number(value).alias("value"), F.substring(F.element_at(s["units"], k + 1), 1, 20).alias("unit"), named.alias("metric"), s["date"].alias("date"))
+
+        return F.transform(s["numbers"], fact)
+
+    return T.let(of, facts_of)
 
 
 def extract(ldus: DataFrame, strict: bool = False) -> DataFrame:
@@ -103,8 +108,10 @@ def by_topic(facts: DataFrame, asked: DataFrame, limit: int = 5) -> DataFrame:
 
 def score(question: Column, found: Column) -> Column:
     """What a fact counts for a question; found: its terms."""
-    low, metric, sentence = normal_question(question), F.lower("metric"), F.lower("sentence")
-    asked_year, asked_month = T.year(question), T.month(question)
+    return _scored(normal_question(question), F.lower("metric"), F.lower("sentence"), T.year(question), T.month(question), found)
+
+
+def _scored(low: Column, metric: Column, sentence: Column, asked_year: Column, asked_month: Column, found: Column) -> Column:
     inflation = F.contains(low, F.lit("inflation"))
     out = F.aggregate(found, F.lit(0), lambda n, t: n + F.when(F.contains(metric, t), 2).otherwise(0) + F.when(F.contains(sentence, t), 1).otherwise(0))
     out = out + F.when((asked_year != "") & F.contains(F.col("date"), asked_year), 3).otherwise(0) + F.when((asked_month != "") & F.contains(sentence, asked_month), 2).otherwise(0)
@@ -119,15 +126,19 @@ def by_question(facts: DataFrame, questions: DataFrame, limit: int = 5) -> DataF
 
     Of each term, the newest limit facts take part.
     """
-    asked = questions.select("question_id", "document_id", "question", F.posexplode(terms(F.col("question"))).alias("term_ord", "term"))
-    met = facts.join(asked, "document_id").filter(F.contains(F.lower("metric"), F.col("term")) | F.contains(F.lower("sentence"), F.col("term")))
+    q = F.col("question")
+    # what a question or a fact has of its own is worked out before they meet
+    asked = questions.select("question_id", "document_id", "question", normal_question(q).alias("q_low"), T.year(q).alias("q_year"), T.month(q).alias("q_month"), terms(q).alias("q_terms"))
+    asked = asked.select("*", F.posexplode("q_terms").alias("term_ord", "term"))
+    low = facts.withColumns({"low_metric": F.lower("metric"), "low_sentence": F.lower("sentence")})
+    met = low.join(asked, "document_id").filter(F.contains("low_metric", F.col("term")) | F.contains("low_sentence", F.col("term")))
     newest = Window.partitionBy("question_id", "document_id", "term_ord").orderBy(F.desc("id"))
     met = met.withColumn("newest", F.row_number().over(newest)).filter(F.col("newest") <= limit)
-    rows = met.withColumn("score", score(F.col("question"), terms(F.col("question")))).filter("score > 0")
+    rows = met.withColumn("score", _scored(*map(F.col, ("q_low", "low_metric", "low_sentence", "q_year", "q_month", "q_terms")))).filter("score > 0")
     once = Window.partitionBy("question_id", "document_id", "page_num", "content_hash", "value").orderBy(F.desc("score"), "term_ord", F.desc("id"))
     rows = rows.withColumn("copy", F.row_number().over(once)).filter("copy = 1")
     best = Window.partitionBy("question_id", "document_id").orderBy(F.desc("score"), "term_ord", F.desc("id"))
-    return rows.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= limit).drop("copy", "newest")
+    return rows.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= limit).drop("copy", "newest", "q_low", "q_year", "q_month", "q_terms", "low_metric", "low_sentence")
 
 
 def is_close(a: Column, b: Column, share: float = 0.03) -> Column:

@@ -37,27 +37,49 @@ def hashed_vector(counts: DataFrame, key: str) -> DataFrame:
     return held.select(key, F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda k: (F.coalesce(F.try_element_at("m", k), F.lit(0)) / F.col("norm")).cast("float")).alias("vector"))
 
 
-def _norms(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
-    return counts.groupBy(*keys).agg(F.sum(F.col("n") * F.col("n")).alias(name))
+def _squares(terms: Column) -> Column:
+    """The sum of the squared counts of an array's terms: the squared lengths of its runs, sorted."""
 
+    def of_runs(held: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(held) - 1), lambda k: F.coalesce(F.get(held, k - 1) != F.get(held, k), F.lit(True)))
+        runs = lambda at: F.transform(at, lambda start, k: (F.coalesce(F.get(at, k + 1), F.size(held)) - start).cast("long"))
+        return F.aggregate(T.let(starts, runs), F.lit(0).cast("long"), lambda n, run: n + run * run)
 
-def top_sections(sections: DataFrame, questions: DataFrame, k: int = 3, hashed: bool = False) -> DataFrame:
+    return F.when(F.size(terms) > 0, T.let(F.sort_array(terms), of_runs)).otherwise(F.lit(0).cast("long"))
+
+
+def _bucket_names(text: Column) -> Column:
+    """Of each token, the two hexadecimal digits that name its bucket (bucket, DIM 256): the last of the MD5's first 32 bits."""
+    return F.transform(T.tokens(text), lambda t: F.substring(F.md5(t), 7, 2))
+
+
+def top_sections(sections: DataFrame, questions: DataFrame, k: int = 3, hashed: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """The k sections of the question's document by cosine with the question; of equals the first in order. Zero scores are returned too.
 
-    hashed: by hashed vectors, as chunks are searched, not by words.
+    hashed: by hashed vectors, as chunks are searched, not by words. keep: further columns
+    of sections, returned with each.
 
-    sections: (document_id, section_id, place, body).
+    sections: (document_id, section_id, place, body). A document's questions meet each of
+    its sections as one array: a section's words are counted once, in its own row, and no
+    word is a row of its own.
     """
-    pairs = sections.select("document_id", "section_id", "place").join(questions.select("document_id", "question_id"), "document_id")
-    mine = counted(sections, ["document_id", "section_id"], F.col("body"), hashed=hashed)
-    asked = counted(questions, ["document_id", "question_id"], F.col("question"), hashed=hashed).withColumnRenamed("n", "q")
-    dots = mine.join(asked, ["document_id", "term"]).groupBy("document_id", "section_id", "question_id").agg(F.sum(F.col("n") * F.col("q")).alias("dot"))
-    sized = _norms(mine, ["document_id", "section_id"], "a")
-    weighed = _norms(asked.withColumnRenamed("q", "n"), ["document_id", "question_id"], "b")
-    rows = pairs.join(dots, ["document_id", "section_id", "question_id"], "left").join(sized, ["document_id", "section_id"], "left").join(weighed, ["document_id", "question_id"], "left")
-    cosine = F.coalesce(F.col("dot") / F.sqrt((F.col("a") * F.col("b")).cast("double")), F.lit(0.0))
+    words = lambda text: F.coalesce((_bucket_names if hashed else T.tokens)(text), F.array().cast("array<string>"))
+    each = questions.select("document_id", "question_id", words(F.col("question")).alias("terms"))
+    each = each.select("document_id", F.struct("question_id", "terms", _squares(F.col("terms")).alias("b")).alias("q"))
+    asked = each.groupBy("document_id").agg(F.collect_list("q").alias("asked")).withColumn("any", F.array_distinct(F.flatten(F.col("asked")["terms"])))
+    mine = sections.select("document_id", "section_id", "place", *keep, words(F.col("body")).alias("terms"))
+    mine = mine.select("document_id", "section_id", "place", *keep, "terms", _squares(F.col("terms")).alias("a"))
+    met = mine.join(asked, "document_id")
+    shared = T.let(F.array_intersect("terms", "any"), lambda some: F.when(F.size(some) > 0, F.filter("terms", lambda t: F.array_contains(some, t))))
+
+    def cosine(terms: Column, q: Column) -> Column:
+        dot = F.aggregate(terms, F.lit(0).cast("long"), lambda n, t: n + F.size(F.filter(q["terms"], lambda x: x == t)))
+        return T.let(dot, lambda d: F.when(d > 0, d / F.sqrt((F.col("a") * q["b"]).cast("double"))).otherwise(0.0))
+
+    scored = T.let(shared, lambda terms: F.transform("asked", lambda q: F.struct(q["question_id"].alias("question_id"), cosine(terms, q).alias("score"))))
+    rows = met.select("document_id", "section_id", "place", *keep, F.explode(scored).alias("q")).select("document_id", "section_id", "place", *keep, "q.question_id", "q.score")
     best = Window.partitionBy("document_id", "question_id").orderBy(F.desc("score"), "place")
-    return rows.withColumn("score", cosine).withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k).select("document_id", "question_id", "section_id", "nth", "score")
+    return rows.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k).select("document_id", "question_id", "section_id", "nth", "score", *keep)
 
 
 def _buckets(text: Column) -> Column:
@@ -185,22 +207,34 @@ def asks_for_pages(question: Column) -> Column:
     return T.has_any(F.lower(question), ("which page", "what page"))
 
 
-def page_score(question: Column, page: Column, asked: Column) -> Column:
-    """Keywords of the question in the page's lower-case text, repeats counted, and what approvals, assets, revenue and dates add."""
-    low = normal_question(question)
+def page_score(low: Column, page: Column, asked: Column, dates: Column, dated: Column) -> Column:
+    """Keywords of the question (asked) in the page's lower-case text, repeats counted, and what approvals, assets, revenue and dates add.
+
+    low: of normal_question. dates: whether the question asks for a date. dated: whether the page has one.
+    """
     out = F.size(F.filter(asked, lambda w: F.contains(page, w)))
     both = lambda mark, by, *there: F.when(F.contains(low, F.lit(mark)) & T.has_any(page, there or (mark,)), by).otherwise(0)
     out = out + both("approved", 3) + both("authorised", 3, "authorised", "authorized") + both("issue", 2) + both("total assets", 5) + both("revenue", 5, "revenue from contracts with customers")
-    return out + F.when(asks_for_date(question) & (T.full_date(page) != ""), 1).otherwise(0)
+    return out + F.when(dates & dated, 1).otherwise(0)
 
 
 def page_search(pages: DataFrame, questions: DataFrame, limit: int = 3) -> DataFrame:
-    """The pages of the question's document by page_score, over 0, with an excerpt; of equals the first page."""
-    met = pages.join(questions, "document_id").withColumn("asked", keywords(F.col("question")))
-    rows = met.withColumn("score", page_score(F.col("question"), F.lower(F.coalesce("text", F.lit(""))), F.col("asked"))).filter("score > 0")
-    best = Window.partitionBy("question_id", "document_id").orderBy(F.desc("score"), "page_num")
+    """The pages of the question's document by page_score, over 0, with an excerpt and the page's text; of equals the first page.
+
+    What a page or a question has of its own is worked out before they meet; pages meet
+    questions for their scores, and only the best again for their texts.
+    """
+    q, low = F.col("question"), F.lower(F.coalesce("text", F.lit("")))
+    asked = questions.select("question_id", "document_id", normal_question(q).alias("q_low"), keywords(q).alias("asked"), asks_for_date(q).alias("dates"))
+    # of pages of one number, the place in their order tells which was found
+    own = pages.select("document_id", "page_num", "text").withColumn("nth_page", F.row_number().over(Window.partitionBy("document_id").orderBy("page_num", "text")))
+    met = own.select("document_id", "page_num", "nth_page", low.alias("low")).withColumn("dated", T.full_date(F.col("low")) != "").join(asked, "document_id")
+    rows = met.withColumn("score", page_score(*map(F.col, ("q_low", "low", "asked", "dates", "dated")))).filter("score > 0").select("question_id", "document_id", "page_num", "nth_page", "score", "asked")
+    best = Window.partitionBy("question_id", "document_id").orderBy(F.desc("score"), "page_num", "nth_page")
     rows = rows.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= limit)
-    return rows.select("question_id", "document_id", "page_num", "nth", "score", F.sha2("text", 256).alias("content_hash"), T.excerpt(F.col("text"), F.col("asked")).alias("excerpt"))
+    texts = own.select("document_id", "nth_page", F.col("text").alias("page_text"), F.sha2("text", 256).alias("content_hash"), T.collapsed(F.col("text")).alias("flat"))
+    rows = rows.join(texts, ["document_id", "nth_page"])
+    return rows.select("question_id", "document_id", "page_num", "nth", "score", "content_hash", T.excerpt(F.col("flat"), F.col("asked"), flat=True).alias("excerpt"), "page_text")
 
 
 def precision_at_k(predicted: Column, relevant: Column, k: int = 3) -> Column:

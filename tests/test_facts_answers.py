@@ -157,3 +157,24 @@ def test_every_query_vector_has_its_nearest(spark):
     got = [(r.query_id, r.vec_id, r.nth) for r in search.vector_topk(vectors, queries, 2, block=1).orderBy("query_id", "nth").collect()]
     assert got == [(10, 0, 1), (10, 1, 2), (11, 2, 1), (11, 0, 2)]
     assert search.vector_topk(vectors, queries.limit(0)).count() == 0
+
+
+def plan(rows):
+    return rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_of_sections_are_no_rows(spark):
+    """A section's words are counted in its own row: sections meet questions in one join, by words and by hashed vectors, with the same scores."""
+    secs = spark.createDataFrame([("d", "s0", 0, "alpha beta beta gamma"), ("d", "s1", 1, "delta delta"), ("d", "s2", 2, None), ("d", "s3", 3, "beta"), ("e", "t0", 0, "x")], "document_id string, section_id string, place int, body string")
+    asked = spark.createDataFrame([(1, "d", "Beta beta or alpha"), (2, "d", None), (3, "f", "beta")], "question_id long, document_id string, question string")
+    for hashed in (False, True):
+        found = search.top_sections(secs, asked, hashed=hashed, keep=("body",))
+        got = [(r.question_id, r.section_id, r.nth, round(r.score, 9), r.body is None) for r in found.orderBy("question_id", "nth").collect()]
+        assert got == [(1, "s0", 1, round(5 / 30**0.5, 9), False), (1, "s3", 2, round(2 / 5**0.5, 9), False), (1, "s1", 3, 0.0, False), (2, "s0", 1, 0.0, False), (2, "s1", 2, 0.0, False), (2, "s2", 3, 0.0, True)]
+        assert plan(found).count("Join ") == 1
+
+
+def test_pages_of_one_number_are_found_each(spark):
+    pages = spark.createDataFrame([("d", 1, "leases"), ("d", 1, "leases and more"), ("d", 2, None), ("d", 3, " ")], "document_id string, page_num int, text string")
+    asked = spark.createDataFrame([(1, "d", "Tell of leases")], "question_id long, document_id string, question string")
+    assert sorted((r.page_num, r.score, r.page_text) for r in search.page_search(pages, asked).collect()) == [(1, 1, "leases"), (1, 1, "leases and more")]
