@@ -597,7 +597,8 @@ SELECT question_id, document_id, nth, source, page_num, content_hash,
 
 @query
 def answers_with_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answers.answers(**_evidence(spark, sf_dir))
+    x = _evidence(spark, sf_dir)
+    return answers.answers(**x | {"cited": answers.with_citations(chunking.page_ldus(x["pages"]), x["questions"])})
 
 
 _SUPPORTED = "(NOT contains(raw, 'approved') OR contains(lp, 'approved')) AND (NOT contains(raw, 'authorised') OR contains(lp, 'authorised') OR contains(lp, 'authorized')) AND (NOT contains(raw, 'issue') OR contains(lp, 'issue'))"

@@ -178,3 +178,20 @@ def test_pages_of_one_number_are_found_each(spark):
     pages = spark.createDataFrame([("d", 1, "leases"), ("d", 1, "leases and more"), ("d", 2, None), ("d", 3, " ")], "document_id string, page_num int, text string")
     asked = spark.createDataFrame([(1, "d", "Tell of leases")], "question_id long, document_id string, question string")
     assert sorted((r.page_num, r.score, r.page_text) for r in search.page_search(pages, asked).collect()) == [(1, 1, "leases"), (1, 1, "leases and more")]
+
+
+def odd(spark):
+    pages = spark.createDataFrame([("d", 1, "Revenue was 20 million."), ("d", 2, None), ("e", 1, " \n"), ("f", 1, None), ("g", 3, "x"), ("h", 1, "INTRO"), ("h", 2, "of leases")], "document_id string, page_num int, text string")
+    asked = spark.createDataFrame([(k, d, q) for d in "defghi" for k, q in enumerate(("Which amount of revenue?", "leases", "", None))], "question_id long, document_id string, question string")
+    return pages, asked
+
+
+def test_questions_with_citations_are_known_without_them(spark):
+    """answers() needs to know which questions have a citation, not the citations."""
+    from paperloom.operators import chunking
+
+    pages, asked = odd(spark)
+    cited = answers.evidence(pages, chunking.page_ldus(pages), asked)["cited"]
+    keys = lambda rows: {(r.question_id, r.document_id) for r in rows.collect()}
+    known = answers.with_citations(chunking.page_ldus(pages), asked)
+    assert keys(known) == keys(cited) and {d for _, d in keys(known)} == {"d", "g", "h"} and known.count() == 12
