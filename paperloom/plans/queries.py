@@ -649,10 +649,10 @@ SELECT question_id, document_id, answer, CASE WHEN starts_with(answer, 'No groun
 
 @query
 def audit_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _evidence(spark, sf_dir)
-    topics = x["questions"].select("question_id", "document_id", facts.topic(F.col("question")).alias("topic"))
-    found = facts.by_topic(facts.extract(chunking.page_ldus(x["pages"])), topics, 10)
-    return answers.audited(x["questions"], x["cited"], found)
+    ldus = chunking.page_ldus(readers.conversation_pages(table(spark, sf_dir, "conversations")).select("document_id", "page_num", "text"))
+    asked = _asked(spark, sf_dir)
+    topics = asked.select("question_id", "document_id", facts.topic(F.col("question")).alias("topic"))
+    return answers.audited(asked, answers.with_citations(ldus, asked), facts.by_topic(facts.extract(ldus), topics, 10))
 
 
 ORACLE["audit_claims"] = rf"""{_ALL},

@@ -195,3 +195,10 @@ def test_questions_with_citations_are_known_without_them(spark):
     keys = lambda rows: {(r.question_id, r.document_id) for r in rows.collect()}
     known = answers.with_citations(chunking.page_ldus(pages), asked)
     assert keys(known) == keys(cited) and {d for _, d in keys(known)} == {"d", "g", "h"} and known.count() == 12
+
+
+def test_an_audit_reads_no_evidence_but_facts(spark):
+    """Verdicts need facts and which documents have chunks: neither pages nor sections nor chunks are searched."""
+    from paperloom.plans import queries
+
+    assert plan(queries.audit_claims(spark, "/root/testdata/sf0.001")).count("Window ") <= 3
